@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bipartiq.graph import transpose
-from bipartiq.operators.relational import codegree, degrees
+from bipartiq.operators.relational import both_ways, codegree, degrees
 from bipartiq.operators.scores import neighbourhood_scores, pulse_weights, top_share
 from bipartiq.session import materialize
 
@@ -50,8 +50,7 @@ def peel(edges: DataFrame, min_degree: int, rounds: int | None = None) -> DataFr
 
 def _supported(edges: DataFrame, tau: int) -> DataFrame:
     """Edges (u, v) for which at least tau of v's neighbours, u among them, share tau neighbours with u."""
-    close = codegree(edges, tau).select("a", "b")
-    close = close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    close = both_ways(codegree(edges, tau))
     others = (
         edges.select(F.col("u").alias("a"), "v")
         .join(close, "a")
@@ -66,10 +65,10 @@ def common_neighbour_round(edges: DataFrame, tau: int) -> DataFrame:
     """One round: low degrees leave, then edges without support on either side, then low degrees again."""
     if tau <= 1:
         return peel_round(edges, tau)
-    base = peel_round(edges, tau)
+    base = materialize(peel_round(edges, tau), "base")
     left = _supported(base, tau)
     right = transpose(_supported(transpose(base), tau))
-    return peel_round(left.join(right, ["u", "v"], "left_semi"), tau)
+    return peel_round(materialize(left.join(right, ["u", "v"], "left_semi"), "supported"), tau)
 
 
 def common_neighbour(edges: DataFrame, k: int, theta: int, rounds: int | None = MAX_ROUNDS) -> DataFrame:
@@ -87,13 +86,9 @@ def projection(edges: DataFrame, k: int, theta: int) -> DataFrame:
     return codegree(edges, theta - k).select("a", "b", "c", F.greatest(F.lit(theta) - F.col("c"), F.lit(0)).alias("w"))
 
 
-def _both_ways(pairs: DataFrame) -> DataFrame:
-    return pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-
 def core_round(pairs: DataFrame, min_degree: int) -> DataFrame:
     """Projected edges both of whose ends have at least ``min_degree`` projected neighbours."""
-    keep = _both_ways(pairs).groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_degree).select("a")
+    keep = both_ways(pairs).groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_degree).select("a")
     return pairs.join(keep, "a", "left_semi").join(keep.select(F.col("a").alias("b")), "b", "left_semi").select(*pairs.columns)
 
 
@@ -104,7 +99,7 @@ def projection_core(pairs: DataFrame, theta: int, rounds: int | None = None) ->
 
 def triangles(pairs: DataFrame) -> DataFrame:
     """(a, b, z): projected edges a < b with each common projected neighbour z."""
-    both = _both_ways(pairs)
+    both = both_ways(pairs)
     return (
         pairs.select("a", "b")
         .join(both.select("a", F.col("b").alias("z")), "a")
@@ -145,7 +140,8 @@ def projection_edges_round(pairs: DataFrame, edges: DataFrame, k: int, theta: in
 
 def projection_reduced(pairs: DataFrame, edges: DataFrame, k: int, theta: int, rounds: int | None = MAX_ROUNDS) -> DataFrame:
     """Vertex and edge rules in turn until neither removes anything."""
-    return _to_fixpoint(pairs, lambda p: projection_edges_round(core_round(p, theta - 1), edges, k, theta), rounds)
+    step = lambda p: projection_edges_round(materialize(core_round(p, theta - 1), "core"), edges, k, theta)
+    return _to_fixpoint(pairs, step, rounds)
 
 
 def neighbourhood_weight(pairs: DataFrame) -> DataFrame:
@@ -154,7 +150,7 @@ def neighbourhood_weight(pairs: DataFrame) -> DataFrame:
     tri = triangles(pairs).join(heavy, ["a", "b"])
     ends = tri.groupBy(F.col("z").alias("id")).agg(F.sum("c").alias("weight"))
     zero = F.lit(0).cast("long")
-    every = _both_ways(pairs).select(F.col("a").alias("id")).distinct()
+    every = both_ways(pairs).select(F.col("a").alias("id")).distinct()
     return every.join(ends, "id", "left").select("id", F.coalesce("weight", zero).alias("weight"))
 
 
@@ -172,7 +168,7 @@ def neighbourhood_weight_prune(pairs: DataFrame, incumbent: DataFrame, rounds: i
 
 def restrict(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """The graph on the left vertices that still have projected edges."""
-    return edges.join(_both_ways(pairs).select(F.col("a").alias("u")).distinct(), "u", "left_semi").select("u", "v")
+    return edges.join(both_ways(pairs).select(F.col("a").alias("u")).distinct(), "u", "left_semi").select("u", "v")
 
 
 def smaller_side(edges: DataFrame) -> str:

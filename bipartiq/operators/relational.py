@@ -207,6 +207,12 @@ def codegree(edges: DataFrame, min_common: int = 1) -> DataFrame:
     )
 
 
+def both_ways(pairs: DataFrame, *columns: str) -> DataFrame:
+    """Each pair (a, b) in both orders, from one computation of the pairs."""
+    turned = F.explode(F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return pairs.select(turned.alias("p__"), *columns).select("p__.a", "p__.b", *columns)
+
+
 def jaccard(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(a, b, c, total, jaccard) of left vertices with a common neighbour."""
     pairs = codegree(edges) if pairs is None else pairs
@@ -288,7 +294,7 @@ def maximal_seeds(edges: DataFrame, places: DataFrame, isolated: DataFrame | Non
     stays. Vertices without neighbours leave; where none has any, the first stays.
     """
     pairs, deg = codegree(edges), degrees(edges, "u")
-    both = pairs.select("a", "b", "c").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
+    both = both_ways(pairs, "c")
     info = deg.join(places, "id")
     mine = info.select(F.col("id").alias("a"), F.col("deg").alias("da"), F.col("place").alias("pa"))
     other = info.select(F.col("id").alias("b"), F.col("deg").alias("db"), F.col("place").alias("pb"))

@@ -12,16 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bipartiq.graph import transpose
-from bipartiq.operators.relational import codegree, degrees, vertex_degrees
+from bipartiq.operators.relational import both_ways, codegree, degrees, vertex_degrees
 from bipartiq.session import materialize
 
 ITERATIONS_PER_COPY = 5
 
 
-def _both_ways(pairs: DataFrame, *columns: str) -> DataFrame:
-    return pairs.select("a", "b", *columns).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), *columns))
-
-
 def _side_similarity(edges: DataFrame, theta: int, pad: bool) -> DataFrame:
     """(u, v, s): mean of the theta largest Jaccard similarities of u to the other neighbours of v."""
     du = degrees(edges, "u")
@@ -35,7 +31,7 @@ def _side_similarity(edges: DataFrame, theta: int, pad: bool) -> DataFrame:
         edges.select(F.col("u").alias("a"), "v")
         .join(edges.select(F.col("u").alias("b"), "v"), "v")
         .filter("a <> b")
-        .join(_both_ways(sims, "j"), ["a", "b"])
+        .join(both_ways(sims, "j"), ["a", "b"])
     )
     best = Window.partitionBy("a", "v").orderBy(F.desc("j"), "b")
     top = wedges.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= theta)
@@ -70,7 +66,7 @@ def four_cycles(edges: DataFrame) -> DataFrame:
         edges.select(F.col("u").alias("a"), "v")
         .join(edges.select(F.col("u").alias("b"), "v"), "v")
         .filter("a <> b")
-        .join(_both_ways(codegree(edges), "c"), ["a", "b"])
+        .join(both_ways(codegree(edges), "c"), ["a", "b"])
         .groupBy(F.col("a").alias("u"), "v")
         .agg(F.sum("c").alias("raw"))
     )
@@ -133,7 +129,7 @@ def diffusion_weights(edges: DataFrame) -> DataFrame:
     """(u, v, cu, cv): for each edge, how many other neighbours of v share two or more with u, and vice versa."""
 
     def one_way(e: DataFrame) -> DataFrame:
-        close = _both_ways(codegree(e, 2), "c")
+        close = both_ways(codegree(e, 2), "c")
         return (
             e.select(F.col("u").alias("a"), "v")
             .join(e.select(F.col("u").alias("b"), "v"), "v")
