@@ -237,7 +237,7 @@ class Drift:
             .filter(F.col("change").isNotNull()),
             "simple",
         )
-        renames = self._renames(simple, steps)
+        renames = materialize(self._renames(simple, steps), "renames")
         old = renames.select(stream, seq, F.lit("removed").alias("change"), F.col("field"))
         new = renames.select(stream, seq, F.lit("added").alias("change"), F.col("new_field").alias("field"))
         return (
@@ -263,18 +263,20 @@ class Drift:
         both = [stream, seq]
         gone = simple.filter("change = 'removed'").select(*both, "before__", "field")
         come = simple.filter("change = 'added'").select(*both, "field")
-        paired = gone.select(*both).distinct().join(come.select(*both).distinct(), both)
+        paired = materialize(gone.select(*both).distinct().join(come.select(*both).distinct(), both), "paired")
 
         runs = self.records.filter(F.col(run).isNotNull()).select(stream, seq, run).distinct()
-        common = (
+        common = materialize(
             runs.join(steps, both)
             .join(paired, both, "left_semi")
             .join(runs.withColumnRenamed(seq, "before__"), [stream, "before__", run], "left_semi")
-            .select(*both, run)
+            .select(*both, run),
+            "common",
         )
         old = self._values(gone.join(paired, both, "left_semi"), "before__").join(common, [*both, run], "left_semi")
         later = come.join(paired, both, "left_semi").withColumn("at__", F.col(seq))
         new = self._values(later, "at__").join(common, [*both, run], "left_semi")
+        old, new = materialize(old, "values"), materialize(new, "values")
         old_n = old.groupBy(*both, "field").agg(F.count(F.lit(1)).alias("n_old"))
         new_n = new.groupBy(*both, F.col("field").alias("new_field")).agg(F.count(F.lit(1)).alias("n_new"))
         # Runs in which neither path has a value agree; all others must have equal values under both.
