@@ -181,31 +181,43 @@ def clique_order(g: DenseGraph, k: int, theta: int, n_seeds: int = 12, limit: in
     return best
 
 
+def _seats(matrix: np.ndarray, members: list[int], options: np.ndarray, k: int, theta: int) -> np.ndarray:
+    """Which options leave theta columns within k missing pairs when they join the members."""
+    if matrix.shape[1] < theta:
+        return options[:0]
+    cost = len(members) - matrix[members].sum(0)
+    joined = cost[None] + 1 - matrix[options]
+    return options[np.partition(joined, theta - 1, axis=1)[:, :theta].sum(1) <= k]
+
+
 def clique_order_edge(g: DenseGraph, k: int, theta: int) -> Solution:
-    """Cliques grown along the heaviest projected edges, started again on edges not used yet."""
+    """Cliques grown along the heaviest projected edges from their tips.
+
+    A vertex joins while theta columns stay within k. The walk starts again on the
+    heaviest edge between vertices no clique holds yet, so there are at most half as
+    many walks as vertices.
+    """
     adjacent = compatible(g, k, theta) if theta > k else ~np.eye(g.n_u, dtype=bool)
     common = g.codegree()
     a, b = np.nonzero(np.triu(adjacent))
     deg = g.matrix.sum(1)
     order = np.lexsort((b, a, -np.minimum(deg[a], deg[b]), -np.maximum(deg[a], deg[b]), -common[a, b]))
-    used = np.zeros(adjacent.shape, bool)
+    used = np.zeros(g.n_u, bool)
     best = Solution.empty()
     for e in order:
         x, y = int(a[e]), int(b[e])
-        if used[x, y]:
+        if used[x] or used[y]:
             continue
-        clique = [x, y]
-        used[x, y] = used[y, x] = True
+        clique, open_ = [x, y], adjacent[x] & adjacent[y]
         while True:
             best = better(g, best, fill(g, np.array(clique), k), theta)
-            options = np.flatnonzero(adjacent[clique].all(0))
-            options = [int(o) for o in options if packed_value(g.matrix, np.array([*clique, o]), k)[1] >= theta]
-            if not options:
+            options = _seats(g.matrix, clique, np.flatnonzero(open_), k, theta)
+            if not len(options):
                 break
-            tip = clique[-1]
-            nxt = min(options, key=lambda o: (-common[tip, o], o))
-            used[clique, nxt] = used[nxt, clique] = True
-            clique.append(nxt)
+            tip = common[clique[-1], options]
+            clique.append(int(options[np.lexsort((options, -tip))[0]]))
+            open_ &= adjacent[clique[-1]]
+        used[clique] = True
     return best
 
 

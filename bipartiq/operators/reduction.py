@@ -256,3 +256,18 @@ def reduce_graph(edges: DataFrame, k: int, theta: int, mode: str = "simple") ->
     if mode not in REDUCTIONS:
         raise ValueError(f"unknown reduction {mode!r}; known: {', '.join(REDUCTIONS)}")
     return REDUCTIONS[mode](edges, k, theta)
+
+
+def phase_sizes(phases: dict[str, DataFrame]) -> DataFrame:
+    """(phase, n_u, n_v, edges): the size of a graph after each named phase."""
+    out: DataFrame | None = None
+    for name, edges in phases.items():
+        row = edges.agg(F.count_distinct("u").alias("n_u"), F.count_distinct("v").alias("n_v"), F.count(F.lit(1)).alias("edges")).select(F.lit(name).alias("phase"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def survives(edges: DataFrame, block: DataFrame) -> DataFrame:
+    """(kept, lost): edges of a block (u, v) that a reduction kept and lost."""
+    hit = block.select("u", "v").distinct().join(edges.select("u", "v").withColumn("hit", F.lit(True)), ["u", "v"], "left")
+    return hit.agg(F.count("hit").alias("kept"), F.count(F.when(F.col("hit").isNull(), 1)).alias("lost"))

@@ -328,3 +328,85 @@ def plant(edges: DataFrame, n_u: int, n_v: int, k: int, seed: int = 1) -> DataFr
     marked = block.withColumn("planted", F.lit(True))
     return edges.unionByName(new).join(F.broadcast(marked), ["u", "v"], "left").select("u", "v", F.coalesce("planted", F.lit(False)).alias("planted"))
 
+
+
+def random_graph(spark, n_u: int, n_v: int, p: float, seed: int = 1) -> DataFrame:
+    """Each of n_u x n_v pairs with chance p, by a hash of the pair: the same edges wherever it runs."""
+    pairs = spark.range(1, n_u + 1).select(F.col("id").alias("u"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n_v).cast("long"))).alias("v"))
+    return pairs.filter(F.pmod(F.xxhash64("u", "v", F.lit(seed)), F.lit(1_000_000)) < int(p * 1_000_000))
+
+
+def best_vertex(scored: DataFrame, score: str, largest: bool = True) -> DataFrame:
+    """The one row (is_u, id, score) of largest or least score: left side first, then smaller id."""
+    order = F.struct(-F.col(score) if largest else F.col(score), ~F.col("is_u"), F.col("id"))
+    return scored.filter(F.col(score).isNotNull()).agg(F.min_by(F.struct("is_u", "id", score), order).alias("b")).filter("b IS NOT NULL").select("b.*")
+
+
+def common_neighbours(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, c) for the given pairs (a, b) of left vertices, 0 included."""
+    left = edges.select(F.col("u").alias("a"), "v")
+    right = edges.select(F.col("u").alias("b"), "v")
+    met = pairs.join(left, "a").join(right, ["b", "v"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    return pairs.join(met, ["a", "b"], "left").select("a", "b", F.coalesce("c", F.lit(0).cast("long")).alias("c"))
+
+
+def promising(edges: DataFrame, pool: DataFrame, theta_u: int, theta_v: int, k: int) -> DataFrame:
+    """Of candidates (root, is_u, id) of left roots those that can share a large subgraph with their root.
+
+    Left ones need theta_v - k neighbours in common with the root, right ones a degree of theta_u - k.
+    """
+    left = pool.filter("is_u").select(F.col("root").alias("a"), F.col("id").alias("b")).distinct()
+    kept = common_neighbours(edges, left).filter(F.col("c") >= theta_v - k).select(F.col("a").alias("root"), F.lit(True).alias("is_u"), F.col("b").alias("id"))
+    big = degrees(edges, "v").filter(F.col("deg") >= theta_u - k).select("id")
+    return kept.unionByName(pool.filter("NOT is_u").join(big, "id", "left_semi").select("root", "is_u", "id").distinct())
+
+
+def nondegrees(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(sid, is_u, id, nondegree): the pairs each member lacks inside its subgraph."""
+    m = members.distinct()
+    sizes = subgraph_counts(edges, m)
+    near = degree_in_subgraph(edges, m)
+    opposite = F.when(F.col("is_u"), F.col("n_v")).otherwise(F.col("n_u"))
+    return m.join(near, ["sid", "is_u", "id"], "left").join(sizes, "sid").select("sid", "is_u", "id", (opposite - F.coalesce("deg", F.lit(0))).alias("nondegree"))
+
+
+def target_overlap(members: DataFrame, target: DataFrame) -> DataFrame:
+    """(sid, in_u, in_v): how many members of each side belong to the target (is_u, id)."""
+    hit = members.distinct().join(target.select("is_u", "id").distinct().withColumn("hit", F.lit(True)), ["is_u", "id"], "left")
+    return hit.groupBy("sid").agg(F.count(F.when(F.col("hit") & F.col("is_u"), 1)).alias("in_u"), F.count(F.when(F.col("hit") & ~F.col("is_u"), 1)).alias("in_v"))
+
+
+def is_clique(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(sid, clique): whether all members (sid, id) of a set are linked to each other in the projection (a, b)."""
+    m = members.distinct()
+    inside = pairs.join(m.withColumnRenamed("id", "a"), "a").join(m.withColumnRenamed("id", "b"), ["sid", "b"]).groupBy("sid").agg(F.count(F.lit(1)).alias("links"))
+    n = m.groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(inside, "sid", "left").select("sid", (F.coalesce("links", F.lit(0)) == F.col("n") * (F.col("n") - 1) / 2).alias("clique"))
+
+
+def class_report(edges: DataFrame) -> DataFrame:
+    """(vertices, classes, least, largest, saved) of the left vertices' classes of equal neighbourhoods."""
+    sizes = same_neighbour_classes(edges)
+    return sizes.agg(
+        F.sum(F.col("size") * F.col("classes")).alias("vertices"), F.sum("classes").alias("classes"), F.min("size").alias("least"), F.max("size").alias("largest"),
+        F.sum((F.col("size") - 1) * F.col("classes")).alias("saved"),
+    )
+
+
+def core_numbers(pairs: DataFrame) -> DataFrame:
+    """(id, core): core number of every vertex of a projection (a, b).
+
+    Each vertex starts at its degree and falls to the largest h for which h of its
+    neighbours have at least h, until nothing changes; no order of removal matters.
+    A vertex's values are counted, not listed, before its h is found.
+    """
+    links = materialize(both_ways(pairs), "links")
+    state = materialize(links.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("core")), "cores")
+    while True:
+        seen = links.join(state.select(F.col("id").alias("b"), F.col("core").alias("h")), "b").groupBy("a", "h").agg(F.count(F.lit(1)).alias("n"))
+        at_least = F.sum("n").over(Window.partitionBy("a").orderBy(F.desc("h")))
+        best = seen.withColumn("n", at_least).groupBy(F.col("a").alias("id")).agg(F.max(F.least("h", "n")).alias("new"))
+        now = materialize(state.join(best, "id").select("id", F.least("core", "new").alias("core"), (F.col("new") < F.col("core")).alias("fell")), "cores")
+        if not now.filter("fell").limit(1).count():
+            return now.select("id", "core")
+        state = now.select("id", "core")

@@ -228,3 +228,16 @@ def degree_statistics(edges: DataFrame) -> DataFrame:
         F.max("deg").alias("max_deg"), F.count(F.lit(1)).alias("n_vertices"), (F.sum("deg") / 2).cast("long").alias("edges"),
         (F.sum("deg") / F.count(F.lit(1))).alias("avg_deg"),
     )
+
+
+def keeping_share(scored: DataFrame, marked: str, column: str = "score") -> DataFrame:
+    """(edges, last, share): the place of the worst marked edge, and the least top share that keeps all of them."""
+    ordered = scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc(column), "u", "v")))
+    last = F.max(F.when(F.col(marked), F.col("place")))
+    return ordered.agg(F.count(F.lit(1)).alias("edges"), last.cast("long").alias("last"), (last / F.count(F.lit(1))).alias("share"))
+
+
+def mark_contrast(scored: DataFrame, marked: str, column: str = "weight") -> DataFrame:
+    """(marked_mean, overall_mean, ratio) of an edge score."""
+    inside, every = F.avg(F.when(F.col(marked), F.col(column))), F.avg(column)
+    return scored.agg(inside.alias("marked_mean"), every.alias("overall_mean"), F.try_divide(inside, every).alias("ratio"))

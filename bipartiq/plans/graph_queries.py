@@ -552,3 +552,101 @@ def neighborhood_weight(spark, folder):
 @query("", "")
 def super_reduce(spark, folder):
     return reduction.super_reduce(cust_part(spark, folder), 2, 8, side="u")
+
+
+# ---- points, reports --------------------------------------------------------
+
+
+@query("""d AS (SELECT true AS is_u, u AS id, count(*) AS deg FROM e GROUP BY u UNION ALL SELECT false, v, count(*) FROM e GROUP BY v)
+SELECT is_u, id, deg FROM d ORDER BY deg DESC, is_u DESC, id LIMIT 1""")
+def argmax_vertex(spark, folder):
+    return relational.best_vertex(relational.vertex_degrees(cust_part(spark, folder)), "deg")
+
+
+@query("""q AS (SELECT DISTINCT u AS a, u + 1 AS b FROM e) SELECT q.a, q.b, count(y.v) AS c FROM q JOIN e x ON x.u = q.a LEFT JOIN e y ON y.u = q.b AND y.v = x.v GROUP BY q.a, q.b""")
+def common_neighbors(spark, folder):
+    edges = cust_part(spark, folder)
+    return relational.common_neighbours(edges, edges.select(F.col("u").alias("a"), (F.col("u") + 1).alias("b")).distinct())
+
+
+@query(f"""{PAIRS}, d AS (SELECT v, count(*) AS d FROM e GROUP BY v), x AS (SELECT a AS root, true AS is_u, b AS id FROM p WHERE c >= {TAU} UNION ALL SELECT u, false, e.v FROM e JOIN d ON d.v = e.v WHERE d.d >= {TAU})
+SELECT root, count(*) FILTER (is_u) AS n_u, count(*) FILTER (NOT is_u) AS n_v FROM x GROUP BY root""", E_HOUR)
+def reduced_candidates(spark, folder):
+    edges = materialize(user_hour(spark, folder), "edges")
+    left = relational.codegree(edges).select(F.col("a").alias("root"), F.lit(True).alias("is_u"), F.col("b").alias("id"))
+    pool = left.unionByName(edges.select(F.col("u").alias("root"), F.lit(False).alias("is_u"), F.col("v").alias("id")))
+    kept = relational.promising(edges, pool, THETA, THETA, K)
+    return kept.groupBy("root").agg(F.count(F.when(F.col("is_u"), 1)).alias("n_u"), F.count(F.when(~F.col("is_u"), 1)).alias("n_v"))
+
+
+@query(f"""{M_BLOCKS}, {COUNTS}, g AS (SELECT sid, true AS is_u, u AS id, count(*) AS deg FROM i GROUP BY sid, u UNION ALL SELECT sid, false, v, count(*) FROM i GROUP BY sid, v)
+SELECT m.sid, m.is_u, m.id, CASE WHEN m.is_u THEN c.n_v ELSE c.n_u END - coalesce(g.deg, 0) AS nondegree FROM m JOIN c ON c.sid = m.sid LEFT JOIN g ON g.sid = m.sid AND g.is_u = m.is_u AND g.id = m.id""")
+def vertex_defects(spark, folder):
+    edges = cust_part(spark, folder)
+    return relational.nondegrees(edges, _blocks(edges, 50))
+
+
+@query(f"{M_BLOCKS} SELECT sid, count(*) FILTER (is_u AND id % 3 = 0) AS in_u, count(*) FILTER (NOT is_u AND id % 3 = 0) AS in_v FROM m GROUP BY sid")
+def target_overlap(spark, folder):
+    edges = cust_part(spark, folder)
+    blocks = _blocks(edges, 50)
+    return relational.target_overlap(blocks, blocks.filter("id % 3 = 0").select("is_u", "id"))
+
+
+@query("""a AS (SELECT DISTINCT 0 AS sid, true AS is_u, u AS id FROM e WHERE u % 2 = 0), b AS (SELECT DISTINCT 0 AS sid, true AS is_u, u AS id FROM e WHERE u % 3 = 0)
+SELECT 'union' AS op, count(*) AS n FROM (FROM a UNION FROM b) UNION ALL SELECT 'intersection', count(*) FROM (FROM a INTERSECT FROM b) UNION ALL SELECT 'difference', count(*) FROM (FROM a EXCEPT FROM b)""")
+def set_algebra(spark, folder):
+    side = cust_part(spark, folder).select(F.lit(0).alias("sid"), F.lit(True).alias("is_u"), F.col("u").alias("id")).distinct()
+    a, b = side.filter("id % 2 = 0"), side.filter("id % 3 = 0")
+    results = {"union": relational.union(a, b), "intersection": relational.intersection(a, b), "difference": relational.difference(a, b)}
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(op).alias("op"), "n") for op, df in results.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("""a AS (SELECT v, list(u ORDER BY u) AS l FROM e GROUP BY v), c AS (SELECT l, count(*) AS size FROM a GROUP BY l)
+SELECT sum(size)::BIGINT AS vertices, count(*) AS classes, min(size) AS least, max(size) AS largest, sum(size - 1)::BIGINT AS saved FROM c""")
+def class_report(spark, folder):
+    return relational.class_report(transpose(cust_part(spark, folder)))
+
+
+@query(f"""{PAIRS}, q AS (SELECT a, b FROM p WHERE c >= {TAU}), s AS (SELECT DISTINCT u // 3 AS sid, u AS id FROM e), n AS (SELECT sid, count(*) AS n FROM s GROUP BY sid),
+l AS (SELECT x.sid, count(*) AS l FROM q JOIN s x ON x.id = q.a JOIN s y ON y.id = q.b AND y.sid = x.sid GROUP BY x.sid)
+SELECT n.sid, coalesce(l.l, 0) = n.n * (n.n - 1) / 2 AS clique FROM n LEFT JOIN l ON l.sid = n.sid""")
+def cliques_of_projection(spark, folder):
+    edges = materialize(cust_part(spark, folder), "edges")
+    sets = edges.select(F.floor(F.col("u") / 3).alias("sid"), F.col("u").alias("id")).distinct()
+    return relational.is_clique(relational.codegree(edges, TAU).select("a", "b"), sets)
+
+
+@query("", "")
+def core_numbers(spark, folder):
+    return relational.core_numbers(_pairs(cust_part(spark, folder)))
+
+
+@query(f"""{_S4}, s AS (SELECT u % 7 = v % 7 AS marked, row_number() OVER (ORDER BY raw / greatest(1, (du - 1) * (dv - 1)) DESC, u, v) AS p FROM s4)
+SELECT count(*) AS edges, max(CASE WHEN marked THEN p END) AS last, round(max(CASE WHEN marked THEN p END) / count(*), 6) AS share FROM s""", E_HOUR)
+def keeping_share(spark, folder):
+    scored = materialize(scores.butterfly_scores(user_hour(spark, folder)), "scores")
+    return _rounded(scores.keeping_share(scored.withColumn("marked", F.col("u") % 7 == F.col("v") % 7), "marked"), "share")
+
+
+@query(f"""{_PULSE} SELECT round(avg(CASE WHEN u % 7 = v % 7 THEN w END), 6) AS marked_mean, round(avg(w), 6) AS overall_mean, round(avg(CASE WHEN u % 7 = v % 7 THEN w END) / avg(w), 6) AS ratio
+FROM (SELECT u, v, 20.0::DOUBLE / du + 190 AS w FROM z)""")
+def pulse_experiment(spark, folder):
+    weights = scores.pulse_weights(cust_part(spark, folder)).withColumn("marked", F.col("u") % 7 == F.col("v") % 7)
+    return _rounded(scores.mark_contrast(weights, "marked"), "marked_mean", "overall_mean", "ratio")
+
+
+@query(f"""{_peel_sql('e', 'a1', 25)}, {_peel_sql('a1', 'a2', 25)} SELECT 'none' AS phase, count(DISTINCT u) AS n_u, count(DISTINCT v) AS n_v, count(*) AS edges FROM e
+UNION ALL SELECT 'peel 1', count(DISTINCT u), count(DISTINCT v), count(*) FROM a1 UNION ALL SELECT 'peel 2', count(DISTINCT u), count(DISTINCT v), count(*) FROM a2""")
+def reduction_report(spark, folder):
+    edges = materialize(cust_part(spark, folder), "edges")
+    one = reduction.peel(edges, 25, rounds=1)
+    return reduction.phase_sizes({"none": edges, "peel 1": one, "peel 2": reduction.peel(one, 25, rounds=1)})
+
+
+@query(f"""{_peel_sql('e', 'a1', 25)}, b AS (SELECT u, v FROM e WHERE u % 7 = 0 AND v % 7 = 0)
+SELECT count(*) FILTER (EXISTS (SELECT 1 FROM a1 WHERE a1.u = b.u AND a1.v = b.v)) AS kept, count(*) FILTER (NOT EXISTS (SELECT 1 FROM a1 WHERE a1.u = b.u AND a1.v = b.v)) AS lost FROM b""")
+def plant_survival(spark, folder):
+    edges = materialize(cust_part(spark, folder), "edges")
+    return reduction.survives(reduction.peel(edges, 25, rounds=1), edges.filter("u % 7 = 0 AND v % 7 = 0"))

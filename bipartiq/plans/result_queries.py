@@ -178,13 +178,14 @@ def loglog_fit(spark, folder):
 
 
 @query("""SELECT dataset, count(*) AS n, round(avg(edge_pct_increase), 6) AS mean_pct, round(stddev_samp(edge_pct_increase), 6) AS std_pct,
-round(corr(edge_pct_increase, edge_count), 6) AS correlation FROM compare_rows WHERE isfinite(edge_pct_increase) AND edge_count IS NOT NULL GROUP BY dataset""")
+round(covar_samp(edge_pct_increase, edge_count) / nullif(stddev_samp(edge_pct_increase) * stddev_samp(edge_count), 0), 6) AS correlation FROM compare_rows WHERE isfinite(edge_pct_increase) AND edge_count IS NOT NULL GROUP BY dataset""")
 def pearson(spark, folder):
     x = F.col("edge_pct_increase")
     rows = table(spark, folder, "compare_rows").filter(~F.isnan(x) & (F.abs(x) < float("inf")) & F.col("edge_count").isNotNull())
-    # Undefined correlations (one row, constant values) are null in both engines.
-    r = F.corr(x, F.col("edge_count").cast("double"))
-    out = rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean_pct"), F.stddev_samp(x).alias("std_pct"), F.when(~F.isnan(r), r).alias("correlation"))
+    # Undefined correlations (one row, constant values) are null.
+    y = F.col("edge_count").cast("double")
+    r = F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+    out = rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean_pct"), F.stddev_samp(x).alias("std_pct"), r.alias("correlation"))
     return _rounded(out, "mean_pct", "std_pct", "correlation")
 
 
@@ -262,3 +263,51 @@ def manifest_names(spark, folder):
 def trim_graphs(spark, folder):
     """The first 100 edges of every graph, by (u, v)."""
     return manifest.trim(table(spark, folder, "interactions"), 100)
+
+
+@query(f"""WITH {TRIALS} SELECT dataset, ants, trial_id FROM (SELECT *, row_number() OVER (PARTITION BY dataset, ants ORDER BY coalesce(theta_feasible, false) DESC, final_edges DESC, run, trial_id) AS p FROM t) WHERE p = 1""")
+def best_replicate(spark, folder):
+    """Per setting the feasible run of most edges, the first on a tie."""
+    order = F.struct(~F.coalesce("theta_feasible", F.lit(False)), -F.col("final_edges").cast("long"), F.col("run"), F.col("trial_id"))
+    return _trials(spark, folder).groupBy(*SETTING).agg(F.min(order).alias("o")).select(*SETTING, F.col("o.trial_id").alias("trial_id"))
+
+
+@query(f"""WITH {TRIALS} SELECT dataset, count(*) AS n, count(*) FILTER (theta_feasible AND final_edges = optimal_edges) AS optimal, count(*) FILTER (final_edges > optimal_edges) AS above FROM t WHERE optimal_edges IS NOT NULL GROUP BY dataset""")
+def optimal_hits(spark, folder):
+    hit, above = F.col("theta_feasible") & (F.col("final_edges") == F.col("optimal_edges")), F.col("final_edges") > F.col("optimal_edges")
+    rows = _trials(spark, folder).filter("optimal_edges IS NOT NULL")
+    return rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(hit, 1)).alias("optimal"), F.count(F.when(above, 1)).alias("above"))
+
+
+@query(f"""WITH {OK_ROWS} SELECT challenger_method, count(*) AS n, count(DISTINCT dataset) AS datasets, median(challenger_edges) AS median_edges,
+round(median(CASE WHEN isfinite(challenger_wall_time_s) AND challenger_wall_time_s >= 0 THEN challenger_wall_time_s END), 6) AS median_s FROM r GROUP BY challenger_method""")
+def methods_table(spark, folder):
+    out = _compared(spark, folder).groupBy("challenger_method").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("dataset").alias("datasets"), F.median("challenger_edges").alias("median_edges"),
+        F.median(finite_time(F.col("challenger_wall_time_s"))).alias("median_s"),
+    )
+    return _rounded(out, "median_s")
+
+
+@query(f"""WITH {OK_ROWS}, n AS (SELECT count(DISTINCT challenger_method) AS n FROM r) SELECT dataset FROM r, n WHERE dataset IS NOT NULL GROUP BY dataset, n.n HAVING count(DISTINCT challenger_method) = n.n""")
+def matched_datasets(spark, folder):
+    """Datasets that every method ran on."""
+    rows = _compared(spark, folder).filter("dataset IS NOT NULL").select("dataset", "challenger_method").distinct()
+    n = rows.agg(F.count_distinct("challenger_method").alias("n"))
+    return rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("k")).join(F.broadcast(n), F.col("k") == F.col("n")).select("dataset")
+
+
+@query(f"""WITH {OK_ROWS}, p AS (SELECT dataset, ntile(3) OVER (ORDER BY edges / (n_u * n_v), dataset) AS part FROM graph_stats WHERE n_u > 0 AND n_v > 0)
+SELECT part, count(*) AS n, count(*) FILTER (challenger_edges > baseline_edges) AS wins, round(100 * count(*) FILTER (challenger_edges > baseline_edges) / count(*), 6) AS win_pct FROM r JOIN p ON p.dataset = r.dataset GROUP BY part""")
+def density_wins(spark, folder):
+    """Win rates on thin, middle and dense graphs."""
+    parts = density_tertiles(spark, folder)
+    rates = statistics.win_rates(_compared(spark, folder).join(parts, "dataset"), ["part"])
+    return _rounded(rates.select("part", "n", "wins", "win_pct"), "win_pct")
+
+
+@query("""SELECT verdict, status, count(*) AS n, count(*) FILTER (challenger_edges > baseline_edges) AS more, count(*) FILTER (edge_delta = challenger_edges - baseline_edges) AS consistent FROM compare_rows GROUP BY verdict, status""")
+def verdict_counts(spark, folder):
+    more, same = F.col("challenger_edges") > F.col("baseline_edges"), F.col("edge_delta") == F.col("challenger_edges") - F.col("baseline_edges")
+    rows = table(spark, folder, "compare_rows")
+    return rows.groupBy("verdict", "status").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(more, 1)).alias("more"), F.count(F.when(same, 1)).alias("consistent"))
