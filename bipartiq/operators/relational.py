@@ -186,11 +186,10 @@ def codegree(edges: DataFrame, min_common: int = 1) -> DataFrame:
     if least == 1:
         left, right = edges.select(F.col("u").alias("a"), "v"), edges.select(F.col("u").alias("b"), "v")
         return left.join(right, "v").filter(a < b).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    hubs = (
-        degrees(edges, "v").filter(F.col("deg") > HUB).orderBy(F.desc("deg"), "id").limit(least - 1).select(F.col("id").alias("v"))
-    )
-    light = edges.join(F.broadcast(hubs), "v", "left_anti")
-    heavy = edges.join(F.broadcast(hubs), "v").groupBy("u").agg(F.collect_set("v").alias("hubs"))
+    edges = materialize(edges, "edges")
+    top = degrees(edges, "v").filter(F.col("deg") > HUB).orderBy(F.desc("deg"), "id").limit(least - 1)
+    hubs = [row["id"] for row in top.collect()]  # min_common - 1 ids at most
+    light = edges.filter(~F.col("v").isin(hubs)) if hubs else edges
     pairs = (
         light.select(F.col("u").alias("a"), "v")
         .join(light.select(F.col("u").alias("b"), "v"), "v")
@@ -198,6 +197,9 @@ def codegree(edges: DataFrame, min_common: int = 1) -> DataFrame:
         .groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("c"))
     )
+    if not hubs:
+        return pairs.filter(F.col("c") >= least)
+    heavy = edges.filter(F.col("v").isin(hubs)).groupBy("u").agg(F.collect_set("v").alias("hubs"))
     shared = F.coalesce(F.size(F.array_intersect("ha", "hb")), F.lit(0))
     return (
         pairs.join(heavy.select(F.col("u").alias("a"), F.col("hubs").alias("ha")), "a", "left")

@@ -12,27 +12,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bipartiq.graph import transpose
-from bipartiq.operators.relational import both_ways, codegree, degrees, vertex_degrees
+from bipartiq.operators.relational import both_ways, degrees, vertex_degrees
 from bipartiq.session import materialize
 
 ITERATIONS_PER_COPY = 5
 
 
+def counted_wedges(edges: DataFrame) -> DataFrame:
+    """(a, b, v, c): each wedge of left vertices a < b over v, with the number of wedges of its pair.
+
+    One shuffle of the wedges by their pair gives both; pairs are never joined back.
+    """
+    wedges = edges.select(F.col("u").alias("a"), "v").join(edges.select(F.col("u").alias("b"), "v"), "v").filter("a < b")
+    return wedges.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("a", "b")))
+
+
 def _side_similarity(edges: DataFrame, theta: int, pad: bool) -> DataFrame:
     """(u, v, s): mean of the theta largest Jaccard similarities of u to the other neighbours of v."""
     du = degrees(edges, "u")
-    pairs = codegree(edges)
     sims = (
-        pairs.join(du.select(F.col("id").alias("a"), F.col("deg").alias("da")), "a")
+        counted_wedges(edges)
+        .join(du.select(F.col("id").alias("a"), F.col("deg").alias("da")), "a")
         .join(du.select(F.col("id").alias("b"), F.col("deg").alias("db")), "b")
-        .select("a", "b", (F.col("c") / (F.col("da") + F.col("db") - F.col("c"))).alias("j"))
-    )
-    wedges = (
-        edges.select(F.col("u").alias("a"), "v")
-        .join(edges.select(F.col("u").alias("b"), "v"), "v")
-        .filter("a <> b")
-        .join(both_ways(sims, "j"), ["a", "b"])
+        .select("a", "b", "v", (F.col("c") / (F.col("da") + F.col("db") - F.col("c"))).alias("j"))
     )
+    wedges = both_ways(sims, "v", "j")
     best = Window.partitionBy("a", "v").orderBy(F.desc("j"), "b")
     top = wedges.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= theta)
     share = F.lit(theta) if pad else F.count(F.lit(1))
@@ -46,6 +50,7 @@ def neighbourhood_scores(edges: DataFrame, theta: int = 5, pad: bool = True, com
     """
     if combine not in ("product", "min"):
         raise ValueError("combine is 'product' or 'min'")
+    edges = materialize(edges, "edges")
     left = _side_similarity(edges, theta, pad)
     right = _side_similarity(transpose(edges), theta, pad).select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("s").alias("t"))
     s, t = F.coalesce("s", F.lit(0.0)), F.coalesce("t", F.lit(0.0))
@@ -58,18 +63,14 @@ def four_cycles(edges: DataFrame) -> DataFrame:
 
     ``raw`` sums the common neighbours of u with each other neighbour of v; each
     holds v itself, so ``cycles``, the four-cycles through the edge, is less by
-    deg(v) - 1. ``possible`` is max(1, (deg u - 1)(deg v - 1)).
+    deg(v) - 1. ``possible`` is max(1, (deg u - 1)(deg v - 1)). A wedge (a, b, v)
+    adds the number of wedges of its pair to the edges (a, v) and (b, v), so all of
+    it comes from one shuffle of the wedges and a combining sum.
     """
+    edges = materialize(edges, "edges")
     du = degrees(edges, "u").select(F.col("id").alias("u"), F.col("deg").alias("du"))
     dv = degrees(edges, "v").select(F.col("id").alias("v"), F.col("deg").alias("dv"))
-    raw = (
-        edges.select(F.col("u").alias("a"), "v")
-        .join(edges.select(F.col("u").alias("b"), "v"), "v")
-        .filter("a <> b")
-        .join(both_ways(codegree(edges), "c"), ["a", "b"])
-        .groupBy(F.col("a").alias("u"), "v")
-        .agg(F.sum("c").alias("raw"))
-    )
+    raw = counted_wedges(edges).select(F.explode(F.array("a", "b")).alias("u"), "v", "c").groupBy("u", "v").agg(F.sum("c").alias("raw"))
     full = edges.join(raw, ["u", "v"], "left").join(du, "u").join(dv, "v").withColumn("raw", F.coalesce("raw", F.lit(0).cast("long")))
     return full.select(
         "u", "v", "raw", (F.col("raw") - F.col("dv") + 1).alias("cycles"),
@@ -127,16 +128,11 @@ def pulse_weights(edges: DataFrame, iterations: int = 20, formula: str = "standa
 
 def diffusion_weights(edges: DataFrame) -> DataFrame:
     """(u, v, cu, cv): for each edge, how many other neighbours of v share two or more with u, and vice versa."""
+    edges = materialize(edges, "edges")
 
     def one_way(e: DataFrame) -> DataFrame:
-        close = both_ways(codegree(e, 2), "c")
-        return (
-            e.select(F.col("u").alias("a"), "v")
-            .join(e.select(F.col("u").alias("b"), "v"), "v")
-            .join(close.select("a", "b"), ["a", "b"])
-            .groupBy(F.col("a").alias("u"), "v")
-            .agg(F.count(F.lit(1)).alias("c"))
-        )
+        close = counted_wedges(e).filter("c >= 2")
+        return close.select(F.explode(F.array("a", "b")).alias("u"), "v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("c"))
 
     left = one_way(edges).withColumnRenamed("c", "cu")
     right = one_way(transpose(edges)).select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("c").alias("cv"))
