@@ -357,7 +357,8 @@ class Drift:
 
         ``fields`` maps each field's first name to its value as JSON, whatever the
         record's file calls it. Two fields of a record that go back to one name are
-        both kept: the later one under its present name.
+        both kept: the later one under its present name. Where the records have a
+        column ``fields`` of their own, the map is named ``fields_``.
         """
         stream, seq = self.stream, self.seq
         origins = self.origins().withColumn("kind", F.lit(0))
@@ -381,7 +382,10 @@ class Drift:
             .agg(entries.alias("entries"))
             .select(self.ident, F.map_from_entries(once).alias("fields"))
         )
-        return self.records.drop(self.body).join(columns, self.ident, "left")
+        name = "fields"
+        while name in self.records.columns:
+            name += "_"
+        return self.records.drop(self.body).join(columns.withColumnRenamed("fields", name), self.ident, "left")
 
 
 def typed(fields: str, column: str, kind: str):

@@ -6,7 +6,8 @@ values. Both steps combine before they shuffle, so a hot key sends at most one
 partial row per task in the second step, and no task ever sees all its rows.
 
 Keys that are null form a group of their own; null values count as rows but not
-as values. Empty tables give empty results.
+as values. Empty tables give empty results. Keys may have any names but those of
+the result's own columns, which raise an error.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bipartiq.session import materialize
+from bipartiq.session import materialize, named_back, neutral_names
 
 WEIGHT = "weight__"
 VALUE = "value__"
@@ -23,6 +24,11 @@ SPLITS = 1024
 MAX_ROUNDS = 7
 
 
+def _free(keys: list[str], *results: str) -> None:
+    if clash := set(keys) & set(results):
+        raise ValueError(f"key columns named like results: {', '.join(sorted(clash))}; rename them first")
+
+
 def compress(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """One row per key and value with its number of rows, in ``weight__``."""
     return df.groupBy(*keys, F.col(value).alias(VALUE)).agg(F.count(F.lit(1)).alias(WEIGHT))
@@ -30,6 +36,7 @@ def compress(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def key_profile(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Rows, exact distinct values, and the mode (ties: the smallest) of every key."""
+    _free(keys, "n_rows", "n_distinct", "mode_rows", "mode_value")
     weighted = compress(df, keys, value)
     known = F.col(VALUE).isNotNull()
     return weighted.groupBy(*keys).agg(
@@ -46,6 +53,7 @@ def two_sided_degrees(df: DataFrame, keys: list[str], left: str, right: str) ->
     The pairs are compressed once; each then counts for both its ends, so the
     whole result takes one scan and two combining shuffles.
     """
+    _free(keys, "side", "vertex", "neighbours", "n_rows")
     pairs = df.groupBy(*keys, left, right).agg(F.count(F.lit(1)).alias(WEIGHT))
     ends = F.explode(
         F.array(
@@ -54,8 +62,8 @@ def two_sided_degrees(df: DataFrame, keys: list[str], left: str, right: str) ->
         )
     )
     return (
-        pairs.select(*keys, WEIGHT, ends.alias("end"))
-        .groupBy(*keys, F.col("end.side").alias("side"), F.col("end.vertex").alias("vertex"))
+        pairs.select(*keys, WEIGHT, ends.alias("end__"))
+        .groupBy(*keys, F.col("end__.side").alias("side"), F.col("end__.vertex").alias("vertex"))
         .agg(F.count(F.lit(1)).alias("neighbours"), F.sum(WEIGHT).alias("n_rows"))
     )
 
@@ -69,7 +77,11 @@ def weighted_percentile(df: DataFrame, keys: list[str], value: str, q: float) ->
     the rank: at most ``SPLITS`` rows per key ever meet in one task, however many
     different values the key has.
     """
-    weighted = materialize(compress(df.filter(F.col(value).isNotNull()), keys, value), "weighted")
+    _free(keys, "percentile")
+    own = keys
+    present = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias(VALUE))
+    renamed, keys = neutral_names(present, keys)
+    weighted = materialize(compress(renamed, keys, VALUE), "weighted")
     same = [F.col(f"w.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
     span = weighted.agg((F.max(VALUE) - F.min(VALUE)).cast("double")).first()[0]
     state = weighted.groupBy(*keys).agg(
@@ -97,4 +109,4 @@ def weighted_percentile(df: DataFrame, keys: list[str], value: str, q: float) ->
         )
         span = span / SPLITS
         rounds += 1
-    return state.select(*keys, F.col("lo").alias("percentile"))
+    return named_back(state.select(*keys, F.col("lo").alias("percentile")), keys, own)

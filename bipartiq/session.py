@@ -77,12 +77,26 @@ def drop_materialized() -> None:
 atexit.register(drop_materialized)
 
 
-def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int = 100, limit: int = 64 << 20) -> DataFrame:
+def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int = 100, limit: int = 32 << 20) -> DataFrame:
     """Hint a broadcast only where the counted rows prove the table small.
 
-    Beyond the limit the join shuffles, where adaptive execution splits hot keys.
+    A row of a hashed table takes about twice its own bytes. Beyond the limit the
+    join shuffles, where adaptive execution splits hot keys.
     """
-    return F.broadcast(df) if rows * row_bytes <= limit else df
+    return F.broadcast(df) if 2 * rows * row_bytes <= limit else df
+
+
+def neutral_names(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """df with its key columns named k0__, k1__, ... so that no key clashes with a working column."""
+    names = [f"k{i}__" for i in range(len(keys))]
+    others = [F.col(f"`{c}`") for c in df.columns if c not in keys]
+    return df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)], *others), names
+
+
+def named_back(df: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
+    """The inverse: working names of keys give way to their own."""
+    own = dict(zip(names, keys))
+    return df.select(*[F.col(c).alias(own.get(c, c)) for c in df.columns])
 
 
 def arrow_rows(spark: SparkSession, rows: int) -> None:

@@ -54,6 +54,11 @@ def test_chains_of_renames_unify(spark):
     assert out[2, 1] == {"b": "3"} and out[None, 1] == {"q": "1"}
 
 
+def test_clashing_column_stays(spark):
+    row = Drift(records(spark, {1: [("r1", {"x": 1})]})).unified().first()
+    assert row["fields"] == "clash" and row["fields_"] == {"x": "1"}
+
+
 def test_empty(spark):
     df = records(spark, {1: [("r1", {"x": 1})]}).limit(0)
     assert changes(df) == [] and Drift(df.drop("fields")).unified().count() == 0

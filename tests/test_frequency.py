@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import pytest
+
 from bipartiq.operators import frequency
 
 
@@ -47,3 +49,11 @@ def test_wide_values_and_empty_tables(spark):
     none = wide.limit(0)
     assert frequency.weighted_percentile(none, ["k"], "v", 0.5).count() == 0
     assert frequency.key_profile(none, ["k"], "v").count() == 0
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 1, 7), (None, 1, 9)], "lo string, rank bigint, part bigint")
+    got = sorted((tuple(r) for r in frequency.weighted_percentile(df, ["lo", "rank"], "part", 0.9).collect()), key=repr)
+    assert got == [("a", 1, 7), (None, 1, 9)]
+    with pytest.raises(ValueError):
+        frequency.key_profile(df.withColumnRenamed("lo", "n_rows"), ["n_rows"], "part")
