@@ -12,7 +12,8 @@ buckets per group are bounded by the range of doubles (about 71,000 at a = 0.01,
 a few hundred in practice), so neither hot groups nor billions of values matter.
 
 Values that are null, NaN or infinite don't count. Null groups form a group of
-their own. A group without values has no row, and an empty table an empty sketch.
+their own. A group without values has no row, and an empty table an empty sketch. Groups
+may have any names but those of the sketch's and the result's columns.
 """
 
 from __future__ import annotations
@@ -34,8 +35,13 @@ def finite(col: Column) -> Column:
     return col.isNotNull() & ~F.isnan(col) & (F.abs(col) != float("inf"))
 
 
+RESERVED = {"v__", "sign", "bucket", "n", "q", "upto", "total", "estimate"}
+
+
 def sketch(df: DataFrame, keys: list[str], value: Column, alpha: float = ALPHA) -> DataFrame:
     """Counts by group, sign and bucket."""
+    if clash := set(keys) & RESERVED:
+        raise ValueError(f"group columns named like results: {', '.join(sorted(clash))}; rename them first")
     v = F.col("v__")
     bucket = F.when(v == 0, 0).otherwise(F.ceil(F.ln(F.abs(v)) / F.lit(math.log(gamma(alpha)))))
     return (

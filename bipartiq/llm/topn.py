@@ -145,20 +145,30 @@ def top_n(df: DataFrame, keys: list[str], words: dict[str, Column], n: int) -> D
     """
     if n < 1:
         return df.limit(0)
-    names = [f"word_{w}__" for w in words]
-    coded = materialize(df.select("*", *[c.alias(m) for c, m in zip(words.values(), names)]), "coded")
-    cuts = materialize(cutoffs(coded, keys, names, n), "cutoffs")
+    names = [f"word{i}__" for i in range(len(words))]
+    held = [f"c{i}__" for i in range(len(df.columns))]  # own columns under neutral names: any name may come
+    group_names = [f"k{i}__" for i in range(len(keys))]
+    coded = materialize(
+        df.select(
+            *[F.col(f"`{k}`").alias(g) for k, g in zip(keys, group_names)],
+            *[F.col(f"`{c}`").alias(h) for c, h in zip(df.columns, held) if c not in keys],
+            *[c.alias(m) for c, m in zip(words.values(), names)],
+        ),
+        "coded",
+    )
+    cuts = materialize(cutoffs(coded, group_names, names, n), "cutoffs")
     small = broadcast_if_small(cuts, cuts.count(), 40 + 12 * len(names))
     within: Column = F.lit(True)
-    for i, m in reversed(list(enumerate(names))):
+    for m in reversed(names):
         x, c = F.col(f"r.{m}"), F.col(f"c.cut_{m}")
         within = c.isNull() | (x < c) | ((x == c) & within)
+    own = {c: g for c, g in zip(keys, group_names)} | {c: h for c, h in zip(df.columns, held) if c not in keys}
     # A group without a cutoff keeps all its rows: its cut words are null in the outer join.
     return (
         coded.alias("r")
-        .join(small.alias("c"), _same(keys, "r", "c"), "left")
+        .join(small.alias("c"), _same(group_names, "r", "c"), "left")
         .filter(within)
-        .select(*[F.col(f"r.{c}") for c in df.columns])
+        .select(*[F.col(f"r.{own[c]}").alias(c) for c in df.columns])
     )
 
 

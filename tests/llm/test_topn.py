@@ -69,3 +69,9 @@ def test_latest_versions(spark):
     df = spark.createDataFrame(rows, "id bigint, at bigint, x bigint")
     got = {r["id"]: r["x"] for r in topn.latest_versions(df, "id", ["at", "x"], ["at", "x"]).collect()}
     assert got == {1: 7, None: 2}
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([("a", i, i % 3, i) for i in range(30)], "need string, part bigint, level bigint, c0__ bigint")
+    got = topn.top_n(df, ["need", "level"], {"x": topn.descending(F.col("part"))}, 2)
+    assert got.columns == df.columns and sorted(r["part"] for r in got.collect()) == [24, 25, 26, 27, 28, 29]
