@@ -220,3 +220,22 @@ def exact_parallel(g: DenseGraph, k: int, theta: int, spark, incumbent: Solution
         for r in sorted(rows, key=lambda r: (-r["edges"], r["us"])):
             best = better(g, best, Solution.of(r["us"], r["vs"]), theta)
     return best
+
+
+def compare_seeds(g: DenseGraph, k: int, theta: int, seed: int = 0, deadline_s: float | None = None, ants: int = 20) -> list[tuple]:
+    """(seed method, its edges, edges of the exact search from it, whether that was complete) for both seeds.
+
+    The first bound of the search is the theta heuristic's solution or an ant
+    colony's; each search has the same time limit.
+    """
+    rows = []
+    seeds = {
+        "heuristic": lambda: repaired(g, det.theta_heuristic(g, k, theta), k, theta),
+        "aco": lambda: sto.ant_colony(g, k, theta, seed, ants, 3, greedy_fill="end"),
+    }
+    for name, make in seeds.items():
+        first = make() if g.n_u and g.n_v else Solution.empty()
+        limit = None if deadline_s is None else time.monotonic() + deadline_s
+        found, full = det.exact(g, k, theta, first, deadline=limit)
+        rows.append((name, first.edges(g), found[0].edges(g) if found else 0, full))
+    return rows

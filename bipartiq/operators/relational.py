@@ -138,9 +138,10 @@ def candidates(edges: DataFrame, members: DataFrame, k: int) -> DataFrame:
 
 
 def nonneighbours(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """(sid, u, v): pairs of each subgraph that are no edges."""
-    us = members.filter("is_u").select("sid", F.col("id").alias("u")).distinct()
-    vs = members.filter("NOT is_u").select("sid", F.col("id").alias("v")).distinct()
+    """(sid, u, v): pairs of each subgraph that are no edges; only vertices that lack some are paired."""
+    lacking = nondegrees(edges, members).filter("nondegree > 0")
+    us = lacking.filter("is_u").select("sid", F.col("id").alias("u"))
+    vs = lacking.filter("NOT is_u").select("sid", F.col("id").alias("v"))
     return us.join(vs, "sid").join(edges, ["u", "v"], "left_anti").select("sid", "u", "v")
 
 
@@ -412,3 +413,9 @@ def core_numbers(pairs: DataFrame) -> DataFrame:
         if not now.filter("fell").limit(1).count():
             return now.select("id", "core")
         state = now.select("id", "core")
+
+
+def payload_totals(edges: DataFrame, members: DataFrame, payload: str) -> DataFrame:
+    """(sid, edges, total): edges of each subgraph and the sum of a column they carry; a vertex counts for its last subgraph."""
+    inside = split_edges(edges.select("u", "v"), members)
+    return inside.join(edges, ["u", "v"]).groupBy("sid").agg(F.count(F.lit(1)).alias("edges"), F.sum(payload).alias("total"))

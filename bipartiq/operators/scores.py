@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bipartiq.graph import transpose
-from bipartiq.operators.relational import both_ways, degrees, vertex_degrees
+from bipartiq.operators.relational import both_ways, degrees, dense_index, vertex_degrees
 from bipartiq.session import materialize
 
 ITERATIONS_PER_COPY = 5
@@ -191,30 +191,30 @@ def incident_scores(scored: DataFrame) -> DataFrame:
     return scored.groupBy(F.col("u").alias("id")).agg(F.max("score").alias("score"))
 
 
-def top_share(scored: DataFrame, share: float, column: str = "score") -> DataFrame:
-    """The best max(1, floor(share m)) of m scored edges, ties by u then v.
+def placed(scored: DataFrame, column: str = "score") -> DataFrame:
+    """The scored edges with ``place``, from 1: best first, ties by u then v.
 
-    The cut-off score comes from an ordered number of scores, not of edges: counts
-    per different score, so the order spans distinct scores alone; only edges that
-    tie at the cut-off are numbered.
+    Places come from a sort by ranges over all partitions; no task orders all edges.
     """
-    m = F.greatest(F.lit(1), F.floor(F.lit(share) * F.sum("n").over(Window.partitionBy())))
-    per = scored.groupBy(F.col(column).alias("cut")).agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.orderBy(F.desc("cut")))
-    at = per.select("cut", (m - upto + F.col("n")).alias("take"), upto.alias("upto"), "n", m.alias("m")).filter("upto >= m AND upto - n < m").select("cut", "take")
-    joined = scored.join(F.broadcast(at))
-    above = joined.filter(F.col(column) > F.col("cut")).select(*scored.columns)
-    ties = joined.filter(F.col(column) == F.col("cut")).withColumn("place", F.row_number().over(Window.orderBy("u", "v")))
-    return above.unionByName(ties.filter("place <= take").select(*scored.columns))
+    kept = materialize(scored.withColumn("key__", F.struct((-F.col(column)).alias("s"), F.col("u"), F.col("v"))), "scored")
+    places = dense_index(kept, "key__").withColumnRenamed("compact_id", "place")
+    return kept.join(places, "key__").drop("key__")
+
+
+def top_share(scored: DataFrame, share: float, column: str = "score") -> DataFrame:
+    """The best max(1, floor(share m)) of m scored edges, ties by u then v."""
+    ranked = placed(scored, column)
+    keep = ranked.agg(F.greatest(F.lit(1), F.floor(F.lit(share) * F.count(F.lit(1)))).alias("keep__"))
+    return ranked.join(F.broadcast(keep), F.col("place") <= F.col("keep__")).select(*scored.columns)
 
 
 def recall_at(scored: DataFrame, marked: str, shares: list[float], column: str = "score") -> DataFrame:
     """(share, kept, recall): part of the marked edges among the best max(1, round(share m)) edges."""
-    ordered = scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc(column), "u", "v")))
+    ordered = placed(scored, column)
     total = scored.agg(F.count(F.lit(1)).alias("m"), F.sum(F.col(marked).cast("long")).alias("all_marked"))
     wanted = F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")
     cuts = total.select("m", "all_marked", wanted).withColumn("kept", F.greatest(F.lit(1), F.floor(F.col("share") * F.col("m") + 0.5)))
-    hits = ordered.filter(F.col(marked)).select("place").join(F.broadcast(cuts), F.col("place") <= F.col("kept"), "right")
+    hits = F.broadcast(cuts).join(ordered.filter(F.col(marked)).select("place"), F.col("place") <= F.col("kept"), "left")
     return hits.groupBy("share", "kept", "all_marked").agg((F.count("place") / F.first("all_marked")).alias("recall")).select("share", "kept", "recall")
 
 
@@ -228,7 +228,7 @@ def degree_statistics(edges: DataFrame) -> DataFrame:
 
 def keeping_share(scored: DataFrame, marked: str, column: str = "score") -> DataFrame:
     """(edges, last, share): the place of the worst marked edge, and the least top share that keeps all of them."""
-    ordered = scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc(column), "u", "v")))
+    ordered = placed(scored, column)
     last = F.max(F.when(F.col(marked), F.col("place")))
     return ordered.agg(F.count(F.lit(1)).alias("edges"), last.cast("long").alias("last"), (last / F.count(F.lit(1))).alias("share"))
 

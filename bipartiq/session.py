@@ -52,13 +52,15 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df to the shared folder as Parquet and read it back: lineage ends here.
 
     The copy outlives any executor, so a lost executor never repeats the work
-    before it, and each later use costs one scan. Copies go when the driver's
-    Python ends, or earlier through ``drop_materialized``.
+    before it, and each later use costs one scan. Copies go when the driver
+    ends, or earlier through ``drop_materialized``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/bipartiq/{name}-{uuid.uuid4().hex}"
     _WRITTEN.append((spark, path))
     df.write.parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 

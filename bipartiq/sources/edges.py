@@ -81,3 +81,8 @@ def completed(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
         return spark.createDataFrame([], ", ".join(f"{k} {'bigint' if k == 'seed' else 'string'}" for k in keys))
     return spark.read.parquet(path).select(*keys).distinct()
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, body) of every file below a folder: whole JSON documents, for ``nested.shred``."""
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), F.col("value").alias("body"))
