@@ -15,6 +15,7 @@ from bipartiq.kernels import deterministic as det
 from bipartiq.kernels import stochastic as sto
 from bipartiq.kernels.dense import DenseGraph, Solution, better, repaired
 from bipartiq.operators.reduction import reduce_graph
+from bipartiq.session import ship
 
 Solver = Callable[..., Solution]
 
@@ -170,6 +171,7 @@ def run_grid(
     if not graphs:
         raise ValueError("no graphs")
     spark = next(iter(graphs.values())).sparkSession
+    ship(spark)
     small = {name: DenseGraph.collect(reduce_graph(edges, k, theta, reduction)) for name, edges in graphs.items()}
     shared = spark.sparkContext.broadcast({name: (g.matrix, g.u_ids, g.v_ids) for name, g in small.items()})
     labels = [s.get("label") or s.get("id") or s["method"] for s in specs]
@@ -202,6 +204,7 @@ def run_grid(
 def exact_parallel(g: DenseGraph, k: int, theta: int, spark, incumbent: Solution | None = None, wave: int | None = None) -> Solution:
     """The exact search with its roots spread over tasks, in waves that share the best found so far."""
     best = incumbent if incumbent is not None else repaired(g, det.theta_heuristic(g, k, theta), k, theta)
+    ship(spark)
     size = wave or 16 * spark.sparkContext.defaultParallelism
     data = spark.sparkContext.broadcast((g.matrix, g.u_ids, g.v_ids))
     for start in range(0, g.n_u, size):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bipartiq.kernels.dense import MAX_CELLS, DenseGraph, Solution
-from bipartiq.session import materialize
+from bipartiq.session import materialize, ship
 
 #: Edges of the largest graph that one task solves.
 SOLVE_LIMIT = 200_000
@@ -58,6 +58,7 @@ def peel(edges: DataFrame, least: int, rounds: int | None = None) -> DataFrame:
 
 def solve_each(edges: DataFrame, k: int, theta: int, solver: Callable[..., Solution], limit: int = SOLVE_LIMIT) -> DataFrame:
     """One row per graph with what a solver finds in it; graphs beyond the limit have the status 'too large'."""
+    ship(edges.sparkSession)
     count = sizes(edges).select("dataset", F.col("edges").alias("n"), (F.col("n_u") * F.col("n_v")).alias("cells"))
     fits = (F.col("n") <= limit) & (F.col("cells") <= MAX_CELLS)
     small = count.filter(fits).select(F.col("dataset").alias("d"))

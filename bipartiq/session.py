@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_SHIPPED: set[str] = set()
 
 
 def local_session(name: str = "bipartiq", cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -101,6 +105,32 @@ def named_back(df: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
     return df.select(*[F.col(c).alias(own.get(c, c)) for c in df.columns])
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application.
+
+    It travels as a zip file through the shared folder, so nothing needs to be
+    installed on the machines or named in their paths.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, f"{root.name}/{source.relative_to(root)}")
+    path = f"{shared_dir(spark)}/bipartiq/package-{uuid.uuid4().hex}/{root.name}.zip"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stream = files.create(target)
+    stream.write(packed.getvalue())
+    stream.close()
+    files.deleteOnExit(target.getParent())
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
+
+
 def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Bound the rows of the batches that Python workers get, for wide rows."""
+    """Ready Python workers for an operator, with batches of so many rows at most."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
