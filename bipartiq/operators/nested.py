@@ -23,6 +23,7 @@ equal ids each count. A table without rows gives tables without rows.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -96,11 +97,28 @@ def _grow(patterns: list[str]) -> dict:
     return tree
 
 
+def _finite(value: object) -> object:
+    """A value with NaN and infinities as texts, which Spark can read and cast to double."""
+    if isinstance(value, float) and not math.isfinite(value):
+        return "NaN" if math.isnan(value) else "Infinity" if value > 0 else "-Infinity"
+    if isinstance(value, dict):
+        return {k: _finite(v) for k, v in value.items()}
+    return [_finite(v) for v in value] if isinstance(value, list) else value
+
+
 def _own_fields(item: object, below: dict) -> str:
-    """An item's own values as JSON, without the lists that have tables of their own."""
+    """An item's own values as JSON, without the lists that have tables of their own.
+
+    Within an object or list NaN and infinities become texts: get_json_object
+    gives null for every path of an object that holds such a literal. A lone
+    number isn't read by path and stays as it is.
+    """
     if isinstance(item, dict):
         item = {k: v for k, v in item.items() if "[]" not in below.get(k, {})}
-    return json.dumps(item, ensure_ascii=False)
+    try:
+        return json.dumps(item, ensure_ascii=False, allow_nan=not isinstance(item, (dict, list)))
+    except ValueError:
+        return json.dumps(_finite(item), ensure_ascii=False)
 
 
 def label_nodes(document: dict, patterns: list[str], with_fields: bool = True) -> Iterator[tuple]:
@@ -202,13 +220,16 @@ def linked_table(nodes: DataFrame, id_col: str, schema_path: str, columns: dict[
 
     ``columns`` maps a field's dotted path to its type; a path the item lacks, or
     whose value doesn't fit the type, comes out null. The path '' stands for the
-    item itself, for lists of plain values.
+    item itself, for lists of plain values. An array type reads a list of values;
+    an object read as string is its JSON.
     """
     fields = F.col("fields")
-    cast = [
-        (fields if not path else F.get_json_object(fields, "$." + path)).try_cast(kind).alias(path.replace(".", "_") or "value")
-        for path, kind in columns.items()
-    ]
+
+    def column(path: str, kind: str) -> Column:
+        value = fields if not path else F.get_json_object(fields, "$." + path)
+        return F.from_json(value, kind) if kind.startswith("array") else value.try_cast(kind)
+
+    cast = [column(path, kind).alias(path.replace(".", "_") or "value") for path, kind in columns.items()]
     return nodes.filter(F.col("schema_path") == schema_path).select(
         id_col,
         dewey_id(F.col("dewey")).alias("node_id"),

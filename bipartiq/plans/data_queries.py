@@ -29,7 +29,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_trials(spark: SparkSession, folder: str) -> DataFrame:
-    columns = {"ants": "int", "run": "int", "seed": "string", "wall_time_s": "double", "time_to_best_s": "double", "final_edges": "int", "theta_feasible": "boolean"}
+    columns = {
+        "ants": "int", "run": "int", "seed": "string", "wall_time_s": "double", "time_to_best_s": "double", "final_edges": "int", "theta_feasible": "boolean",
+        "missing": "int", "nU": "int", "nV": "int", "U": "array<bigint>", "V": "array<bigint>", "iterations_budget": "int",
+        "optimal_edges": "int", "matched_optimal": "boolean", "construction": "string",
+    }
     return nested.linked_table(_nodes(spark, folder, LISTS[:2]), "doc_no", LISTS[0], columns)
 
 

@@ -1,7 +1,8 @@
 import json
+import math
 
 from bipartiq.operators import nested
-from bipartiq.plans.data_queries import LISTS, p1_found
+from bipartiq.plans.data_queries import LISTS, p1_found, p1_trials
 
 SCHEMA = "doc_no bigint, family string, dataset string, written_at timestamp, body string"
 
@@ -57,3 +58,16 @@ def test_empty_table_and_long_document(spark):
     long = json.dumps({"trials": [{"epoch_trace": [{"t": t} for t in range(50)]} for _ in range(2000)]})
     docs = spark.createDataFrame([(1, long)], "doc_no bigint, body string")
     assert nested.shred(docs, "doc_no", "body", LISTS, with_fields=False).count() == 2000 * 51
+
+
+def test_trials_keep_every_field_beside_nan(spark, tmp_path):
+    trial = {
+        "ants": 10, "run": 3, "seed": "7", "wall_time_s": float("inf"), "time_to_best_s": float("nan"), "final_edges": 6, "theta_feasible": True, "missing": 1,
+        "nU": 2, "nV": 3, "U": [4, 5], "V": [1, 2, 3], "iterations_budget": 9, "optimal_edges": 6, "matched_optimal": True, "construction": {"missing_at_size": [0, 1]},
+    }
+    docs = spark.createDataFrame([(0, None, None, None, json.dumps({"trials": [trial | {"epoch_trace": [{"t": 1}]}, {"ants": 1}]}))], SCHEMA)
+    docs.write.parquet(f"{tmp_path}/result_docs.parquet")
+    full, sparse = (r.asDict() for r in p1_trials(spark, str(tmp_path)).orderBy("pos").collect())
+    assert math.isnan(full.pop("time_to_best_s")) and json.loads(full.pop("construction")) == trial["construction"]
+    assert {k: full[k] for k in full if k in trial} == {k: v for k, v in trial.items() if k not in ("time_to_best_s", "construction")}
+    assert sparse["ants"] == 1 and sparse["U"] is None and sparse["construction"] is None
