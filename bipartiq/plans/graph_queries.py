@@ -515,7 +515,7 @@ def theta_core_rounds(spark, folder):
     return reduction.projection_core(reduction.projection(cust_part(spark, folder), K, THETA), 81, rounds=2)
 
 
-# A denser projection threshold keeps the triangle joins in proportion to the whole graph.
+# The four queries with SQL are of the denser projection that their SQL states, at THETA; those named _tau and core_numbers are of the whole projection, at TAU.
 _TRI = f"""{PAIRS}, q AS (SELECT a, b, c FROM p WHERE c >= {THETA}), w AS (SELECT a, b FROM q UNION ALL SELECT b, a FROM q),
 t AS (SELECT q.a, q.b, x.b AS z FROM q JOIN w x ON x.a = q.a JOIN w y ON y.a = q.b AND y.b = x.b)"""
 
@@ -524,6 +524,10 @@ def _pairs(edges: DataFrame) -> DataFrame:
     return materialize(relational.codegree(edges, THETA), "pairs")
 
 
+def _projected(edges: DataFrame) -> DataFrame:
+    return materialize(reduction.projection(edges, K, THETA), "pairs")
+
+
 @query(f"{_TRI} SELECT q.a, q.b, count(t.z) AS common FROM q LEFT JOIN t ON t.a = q.a AND t.b = q.b GROUP BY ALL")
 def edge_rule_size(spark, folder):
     edges = materialize(cust_part(spark, folder), "edges")
@@ -549,6 +553,29 @@ def neighborhood_weight(spark, folder):
     return reduction.neighbourhood_weight(_pairs(cust_part(spark, folder)))
 
 
+@query("", "")
+def edge_rule_size_tau(spark, folder):
+    edges = materialize(cust_part(spark, folder), "edges")
+    return reduction.edge_support(_projected(edges), edges).select("a", "b", "common")
+
+
+@query("", "")
+def edge_rule_induced_tau(spark, folder):
+    edges = materialize(cust_part(spark, folder), "edges")
+    return reduction.edge_support(_projected(edges), edges).select("a", "b", "inside")
+
+
+@query("", "")
+def edge_rule_triangle_tau(spark, folder):
+    edges = materialize(cust_part(spark, folder), "edges")
+    return reduction.edge_support(_projected(edges), edges).select("a", "b", "triple")
+
+
+@query("", "")
+def neighborhood_weight_tau(spark, folder):
+    return reduction.neighbourhood_weight(_projected(cust_part(spark, folder)))
+
+
 @query("", "")
 def super_reduce(spark, folder):
     return reduction.super_reduce(cust_part(spark, folder), 2, 8, side="u")
@@ -620,7 +647,7 @@ def cliques_of_projection(spark, folder):
 
 @query("", "")
 def core_numbers(spark, folder):
-    return relational.core_numbers(_pairs(cust_part(spark, folder)))
+    return relational.core_numbers(_projected(cust_part(spark, folder)))
 
 
 @query(f"""{_S4}, s AS (SELECT u % 7 = v % 7 AS marked, row_number() OVER (ORDER BY raw / greatest(1, (du - 1) * (dv - 1)) DESC, u, v) AS p FROM s4)
