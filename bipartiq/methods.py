@@ -149,7 +149,7 @@ register_method("diffusion", sto.diffusion_colony, diffusion_iters=20)
 register_method("vns", sto.variable_neighbourhood, kmax=10)
 register_method("retry", sto.retry, beta=0.04, p=1.0, max_steps=10_000)
 register_method("tabu", sto.tabu, N=10, tt=3, tabu_patience=10)
-register_method("ga", sto.genetic, N=10)
+register_method("ga", sto.genetic, N=10, generations=500)
 
 
 RESULT = (

@@ -15,15 +15,6 @@ from bipartiq.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Settings that keep a query short where the defaults are made for long searches.
-SHORT = {
-    "aco": {"ants": 8, "iterations": 2}, "edges": {"ants": 4, "iterations": 2}, "split_aco": {"ants": 4, "iterations": 2},
-    "one_side_aco": {"ants": 8, "iterations": 2}, "oracle_aco": {"ants": 2, "iterations": 2}, "clique_aco": {"ants": 4, "iterations": 2},
-    "diffusion": {"ants": 4, "iterations": 2}, "super-heuristic": {"ants": 4, "iterations": 1, "max_cycles": 2}, "tug": {"num_seeds": 3},
-    "vns": {"restarts": 2}, "retry": {"max_steps": 500}, "tabu": {"N": 2}, "ga": {"generations": 10}, "clique-order": {"n_seeds": 4},
-}
-
-
 def planted(spark: SparkSession, folder: str) -> DataFrame:
     """The user-hour graph with a planted 12 x 12 block that lacks K pairs."""
     return relational.plant(user_hour(spark, folder), 12, 12, K).select("u", "v")
@@ -37,7 +28,7 @@ def run_one(spark: SparkSession, folder: str, spec: dict) -> DataFrame:
 
 def _query(name: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return run_one(spark, folder, {"method": name, "params": SHORT.get(name, {})})
+        return run_one(spark, folder, {"method": name})
 
     run.__name__ = "solve_" + name.replace("-", "_")
     return run
@@ -81,7 +72,7 @@ def solve_seeded(spark: SparkSession, folder: str) -> DataFrame:
 def compare_methods(spark: SparkSession, folder: str) -> DataFrame:
     """Several methods and seeds over two graphs, one task per run, and each method's share of best results."""
     graphs = {"user_hour": materialize(user_hour(spark, folder), "graph"), "planted": materialize(planted(spark, folder), "graph")}
-    specs = [{"method": m, "params": SHORT.get(m, {})} for m in ("heuristic", "double-greedy", "tug", "clique-order-edge")]
+    specs = [{"method": m} for m in ("heuristic", "double-greedy", "tug", "clique-order-edge")]
     rows = materialize(methods.run_grid(graphs, specs, K, THETA, [1, 2], "none"), "grid")
     best = rows.filter("k_valid").groupBy("dataset").agg(F.max("edges").alias("best"))
     won = (F.col("edges") == F.col("best")) & F.col("k_valid")

@@ -5,7 +5,9 @@ from itertools import combinations
 
 import pytest
 
+from bipartiq import methods
 from bipartiq.plans import graph_queries as q
+from bipartiq.plans import solver_queries
 
 
 @pytest.fixture(scope="module")
@@ -51,3 +53,25 @@ def test_core_numbers_of_the_whole_projection(spark, sales, rows):
         left = {pair for pair in left if not gone & {*pair}}
         core |= {x: least for x in {x for x in degree if not any(x in pair for pair in left)} - core.keys()}
     assert rows(q.core_numbers(spark, folder)) == sorted(core.items(), key=repr)
+
+
+def test_solver_queries_run_with_the_methods_defaults(monkeypatch):
+    specs = []
+    monkeypatch.setattr(solver_queries, "run_one", lambda spark, folder, spec: specs.append(spec))
+    own = [name for name in solver_queries.QUERIES if name.startswith("solve_") and name not in ("solve_all_graphs", "solve_pivot", "solve_seeded")]
+    for name in own:
+        solver_queries.QUERIES[name](None, "")
+    assert {s["method"] for s in specs} == set(methods.list_methods()) - {"pivot"}
+
+    def grid(graphs, specs_, *rest):
+        specs.extend(specs_)
+        raise InterruptedError
+
+    monkeypatch.setattr(methods, "run_grid", grid)
+    monkeypatch.setattr(solver_queries, "materialize", lambda df, name: df)
+    monkeypatch.setattr(solver_queries, "user_hour", lambda spark, folder: None)
+    monkeypatch.setattr(solver_queries, "planted", lambda spark, folder: None)
+    with pytest.raises(InterruptedError):
+        solver_queries.compare_methods(None, "")
+    assert all(methods.method_from_dict(s).params == methods.make_method(s["method"]).params for s in specs)
+    assert methods.make_method("ga").params["generations"] == 500
