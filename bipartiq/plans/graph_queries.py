@@ -578,7 +578,7 @@ def neighborhood_weight_tau(spark, folder):
 
 @query("", "")
 def super_reduce(spark, folder):
-    return reduction.super_reduce(cust_part(spark, folder), 2, 8, side="u")
+    return reduction.super_reduce(cust_part(spark, folder), K, THETA, side="u")
 
 
 # ---- points, reports --------------------------------------------------------

@@ -49,23 +49,21 @@ def solve_pivot(spark: SparkSession, folder: str) -> DataFrame:
     from bipartiq.operators.reduction import common_neighbour
     from bipartiq.plans.graph_queries import cust_part
 
-    k, theta = 1, 8
-    core = common_neighbour(relational.plant(cust_part(spark, folder), 10, 10, k).select("u", "v"), k, theta)
+    core = common_neighbour(relational.plant(cust_part(spark, folder), 10, 10, K).select("u", "v"), K, THETA)
     best, g = Solution.empty(), DenseGraph.collect(core)
     if g.n_u:
-        best = methods.exact_parallel(g, k, theta, spark)
+        best = methods.exact_parallel(g, K, THETA, spark)
     row = (g.n_u, g.n_v, best.edges(g), best.missing(g), len(best.us), len(best.vs))
     return spark.createDataFrame([row], "core_u int, core_v int, edges bigint, missing bigint, n_u int, n_v int")
 
 
 def solve_seeded(spark: SparkSession, folder: str) -> DataFrame:
-    """The exact search of the same core, timed with either heuristic's solution as its first bound."""
+    """The exact search of the same core to its end, with either heuristic's solution as its first bound."""
     from bipartiq.operators.reduction import common_neighbour
     from bipartiq.plans.graph_queries import cust_part
 
-    k, theta = 1, 8
-    core = common_neighbour(relational.plant(cust_part(spark, folder), 10, 10, k).select("u", "v"), k, theta)
-    rows = methods.compare_seeds(DenseGraph.collect(core), k, theta, deadline_s=60.0)
+    core = common_neighbour(relational.plant(cust_part(spark, folder), 10, 10, K).select("u", "v"), K, THETA)
+    rows = methods.compare_seeds(DenseGraph.collect(core), K, THETA)
     return spark.createDataFrame(rows, "seed_method string, seed_edges bigint, edges bigint, complete boolean").select("seed_method", "seed_edges", "edges", "complete")
 
 

@@ -75,3 +75,15 @@ def test_solver_queries_run_with_the_methods_defaults(monkeypatch):
         solver_queries.compare_methods(None, "")
     assert all(methods.method_from_dict(s).params == methods.make_method(s["method"]).params for s in specs)
     assert methods.make_method("ga").params["generations"] == 500
+
+
+def test_exact_queries_run_at_k_and_theta_to_the_end(spark, sales, rows, monkeypatch):
+    folder, edges = sales
+    kept = rows(q.super_reduce(spark, folder))
+    assert kept and set(kept) <= set(edges)
+    asked = []
+    monkeypatch.setattr(methods, "compare_seeds", lambda g, k, theta, **options: asked.append((k, theta, options.get("deadline_s"))) or [("none", 0, 0, True)])
+    monkeypatch.setattr(methods, "exact_parallel", lambda g, k, theta, spark: asked.append((k, theta, None)) or solver_queries.Solution.empty())
+    solver_queries.solve_seeded(spark, folder)
+    row = solver_queries.solve_pivot(spark, folder).first()
+    assert asked == [(q.K, q.THETA, None)] * 2 and row["core_u"] > 10
