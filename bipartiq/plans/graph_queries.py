@@ -496,7 +496,7 @@ def cnr_round(spark, folder):
 
 @query("", "")
 def cnr_fixpoint(spark, folder):
-    return reduction.common_neighbour(user_hour(spark, folder), K, THETA, rounds=None)
+    return reduction.common_neighbour(cust_part(spark, folder), K, THETA, rounds=None)
 
 
 _PROJ = f"{PAIRS}, q AS (SELECT a, b, c, greatest({THETA} - c, 0) AS w FROM p WHERE c >= {TAU})"

@@ -87,3 +87,21 @@ def test_exact_queries_run_at_k_and_theta_to_the_end(spark, sales, rows, monkeyp
     solver_queries.solve_seeded(spark, folder)
     row = solver_queries.solve_pivot(spark, folder).first()
     assert asked == [(q.K, q.THETA, None)] * 2 and row["core_u"] > 10
+
+
+def test_cnr_fixpoint_is_of_the_customer_part_graph(spark, sales, rows):
+    folder, edges = sales
+    left, before = set(edges), None
+    while left != before:
+        before = left
+        for tau in (q.TAU, None, q.TAU):
+            us = {u: {v for x, v in left if x == u} for u, _ in left}
+            vs = {v: {u for u, y in left if y == v} for _, v in left}
+            if tau:  # low degrees leave, on both sides at once
+                left = {(u, v) for u, v in left if len(us[u]) >= tau and len(vs[v]) >= tau}
+            else:
+                left = {
+                    (u, v) for u, v in left
+                    if sum(len(us[u] & us[x]) >= q.TAU for x in vs[v]) >= q.TAU and sum(len(vs[v] & vs[y]) >= q.TAU for y in us[u]) >= q.TAU
+                }
+    assert left and rows(q.cnr_fixpoint(spark, folder)) == sorted(left, key=repr)
