@@ -7,8 +7,10 @@ import io
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as spark.checkpoint.dir names it.
 
     Where the setting is absent a local master gets a temporary folder of its
-    own; a cluster master gets the warehouse folder, which it shares anyway.
+    own. A cluster master gets a folder beside its warehouse if that lies in a
+    shared file system; the default warehouse is a folder of each machine, where
+    other machines' rows would be lost, so there it raises.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -48,7 +52,10 @@ def shared_dir(spark: SparkSession) -> str:
         if spark.sparkContext.master.startswith("local"):
             _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="bipartiq-")
         else:
-            _OWN_DIR[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_bipartiq"
+            warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+            if warehouse.split(":")[0] in ("file", "local") or ":" not in warehouse:
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+            _OWN_DIR[app] = warehouse + "/_bipartiq"
     return _OWN_DIR[app]
 
 
@@ -130,6 +137,16 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of so many rows at most, whatever the session's own limits are.
+
+    Spark bounds a batch's bytes (64 MB by default); this bounds what a step works on at once.
+    """
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def arrow_rows(spark: SparkSession, rows: int) -> None:
     """Ready Python workers for an operator, with batches of so many rows at most."""
     ship(spark)
