@@ -99,6 +99,12 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    """What the genetic algorithm ran and gained in each round of p7_containers."""
+    sized = tokens.token_counts(table(spark, folder, "documents"), ["doc_id"])
+    return packing.pack_report(sized, "doc_id", "tokens")
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.variant_pairs(table(spark, folder, "documents"))
 
@@ -118,6 +124,6 @@ FROM (SELECT doc_id, {lookalike.form_sql("text")} AS f FROM documents)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p5_percentiles, p5_merged_days, p6_ids, p7_containers, p8_found, p8_forms, p8_classes)
+    for f in (p2_found, p5_percentiles, p5_merged_days, p6_ids, p7_containers, p7_report, p8_found, p8_forms, p8_classes)
 }
 SQL = {"p2_found": P2_FOUND, "p5_percentiles": P5_PERCENTILES, "p5_merged_days": P5_PERCENTILES, "p8_forms": P8_FORMS}

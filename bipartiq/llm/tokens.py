@@ -23,7 +23,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from bipartiq.session import arrow_rows
+from bipartiq.session import ship, slices
 
 #: Where the vocabulary files lie, and the file used; both are parameters of every function.
 TOKENIZERS = "/opt/tokenizers"
@@ -215,12 +215,12 @@ def token_counts(
 
 
 def _per_text(df, keep, text, path, field, compute, kind) -> DataFrame:
-    arrow_rows(df.sparkSession, TEXTS_PER_BATCH)
+    ship(df.sparkSession)
     name = field.split()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for batch in batches:
+        for batch in slices(batches, TEXTS_PER_BATCH):
             values = [compute(own, t.as_py()) for t in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(values, kind)], names=[*keep, name])
 

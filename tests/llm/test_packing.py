@@ -54,7 +54,7 @@ def test_runs_repeat(spark):
 def test_operators_keep_a_packing_a_packing():
     rng = random.Random(3)
     sizes = [rng.randint(1, 70) for _ in range(80)]
-    a, b = p.evolve(sizes, 100, "a", [], generations=0)[0], p.Packing(sizes, 100)
+    a, b = p.evolve(sizes, 100, "a", [], generations=0)[0][0], p.Packing(sizes, 100)
     b.insert(list(range(80)))
     child = p.crossover(b, a, rng)
     p.mutate(child, rng)
@@ -66,12 +66,40 @@ def test_operators_keep_a_packing_a_packing():
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_evolution_beats_or_equals_largest_first(seed):
+def test_evolution_beats_best_fit(seed):
+    """Items made by cutting full bins in three: best fit needs more bins, evolution gets nearer to the cut."""
     rng = random.Random(seed)
-    sizes = [rng.choice([26, 27, 33, 34, 41, 49, 51]) for _ in range(120)]
-    first = p.Packing(sizes, 100)
-    first.insert(p.largest_first(sizes, list(range(120))))
-    best = p.evolve(sizes, 100, f"s{seed}", [], generations=30)[0]
-    assert len(best.bins) <= len(first.bins)
-    again = p.evolve(sizes, 100, f"s{seed}", [best.assignment()], generations=5)[0]
-    assert len(again.bins) <= len(best.bins)
+    sizes = []
+    for _ in range(20):
+        a = rng.randint(380, 490)
+        b = rng.randint(250, (1000 - a) // 2)
+        sizes += [a, b, 1000 - a - b]
+    rng.shuffle(sizes)
+    first = p.best_fit(sizes, 1000)
+    people, ran = p.evolve(sizes, 1000, f"s{seed}", [], generations=300, population=12)
+    assert ran > 0 and len(people[0].bins) < len(first.bins)
+    again, _ = p.evolve(sizes, 1000, f"t{seed}", [people[0].assignment()], generations=5)
+    assert again[0].rank() <= people[0].rank()
+
+
+def test_islands_run_generations_and_gather_what_is_unused(spark):
+    rng = random.Random(4)
+    sizes = {i: rng.randint(5, 90) for i in range(400)}
+    df = spark.createDataFrame(list(sizes.items()), "doc_id bigint, n int")
+    rounds = {r["round"]: r for r in p.pack_report(df, "doc_id", "n", 100, cell_items=100).collect()}
+    assert rounds[0]["cells"] >= 3 and rounds[0]["cells_evolved"] == rounds[0]["cells"]
+    assert rounds[0]["generations"] >= rounds[0]["cells"] * p.ISLANDS * p.EPOCHS
+    assert rounds[0]["bins"] <= rounds[0]["bins_best_fit"] and rounds[0]["full_bins"] > rounds[0]["full_best_fit"]
+    assert p.pack_report(df.limit(0), "doc_id", "n", 100).count() == 0
+
+
+def test_optimal_is_recognised():
+    assert p.best_fit([50, 50, 30], 100).optimal() and not p.best_fit([60, 60], 100).optimal() and p.best_fit([0, 0], 100).optimal()
+
+
+def test_next_to_nothing_is_bundled(spark):
+    sizes = {i: i % 3 for i in range(5000)} | {6000 + i: 400 for i in range(40)}
+    fills = check(pack(spark, sizes, 2048, cell_items=64), sizes, 2048)
+    assert len(fills) == -(-sum(sizes.values()) // 2048)
+    nothing = {i: 0 for i in range(3000)}
+    assert len(check(pack(spark, nothing, 100, cell_items=64), nothing, 100)) == 1
