@@ -5,6 +5,10 @@ value 0 has a bucket of its own. Every value of a bucket lies within a relative
 error a of the bucket's estimate 2 g^i / (g+1), so the estimate of the bucket that
 holds a rank is within that error of the value of that rank, whatever the data.
 
+In the bucket that holds the largest doubles the estimate is at most the largest
+double, and in that of the smallest (below 2.3e-308) doubles themselves have gaps
+wider than the error.
+
 A sketch is an ordinary table of (group, sign, bucket, count). Sketches of days,
 row blocks or partitions combine by adding the counts, exactly: the sketch of a
 union is the sum of the sketches. Counting combines before it shuffles, and the
@@ -19,6 +23,8 @@ may have any names but those of the sketch's and the result's columns.
 from __future__ import annotations
 
 import math
+import sys
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,11 +75,40 @@ def percentiles(sketches: DataFrame, keys: list[str], quantiles: list[float], al
     ranked = sketches.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(every))
     q = F.explode(F.array(*[F.lit(float(x)) for x in quantiles])).alias("q")
     rank = F.floor(F.col("q") * (F.col("total") - 1))
-    estimate = F.when(F.col("sign") == 0, 0.0).otherwise(
-        F.col("sign") * F.exp(F.col("bucket") * F.lit(math.log(g))) * F.lit(2 / (g + 1))
-    )
+    # One exponent, so no factor overflows before the other brings it back; the last bucket ends at the largest double.
+    magnitude = F.exp(F.col("bucket") * F.lit(math.log(g)) + F.lit(math.log(2 / (g + 1))))
+    estimate = F.when(F.col("sign") == 0, 0.0).otherwise(F.col("sign") * F.least(magnitude, F.lit(sys.float_info.max)))
     return (
         ranked.select("*", q)
         .filter((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank))
         .select(*keys, "q", F.col("total").alias("n"), "sign", "bucket", estimate.alias("estimate"))
     )
+
+
+def within_bound(df: DataFrame, keys: list[str], value: Column, estimates: DataFrame, quantiles: list[float], alpha: float = ALPHA) -> DataFrame:
+    """Whether each estimate keeps its error bound, by exact ranks in the rows themselves.
+
+    A positive value v has the estimate e within a relative error a if v lies from
+    e / (1 + a) to e / (1 - a). So the value of a rank keeps the bound if no more
+    values than the rank lie below that span, and more lie below its end: two counts
+    a quantile, combined before they shuffle; nothing is sorted. Columns: the keys,
+    ``q``, ``n``, ``rank`` (from 0) and ``within``.
+    """
+    near, far, slack = 1 + alpha, 1 - alpha, 1e-9
+    e = F.col("estimate")
+    low = F.when(e >= 0, e / near).otherwise(e / far)
+    high = F.when(e >= 0, e / far).otherwise(e / near)
+    bounds = F.struct("q", (low - F.abs(low) * slack).alias("lo"), (high + F.abs(high) * slack).alias("hi"))
+    spans = estimates.groupBy(*keys).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(bounds)).alias("b"))  # one entry a quantile
+    rows = df.select(*keys, value.cast("double").alias("v__")).filter(finite(F.col("v__")))
+    same = reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys])
+    counts = []
+    for i in range(len(quantiles)):
+        bound = F.col("s.b")[i]
+        counts += [F.count(F.when(F.col("v__") < bound["lo"], 1)).alias(f"below{i}__"), F.count(F.when(F.col("v__") <= bound["hi"], 1)).alias(f"upto{i}__")]
+    met = rows.alias("r").join(spans.alias("s"), same).groupBy(*[F.col(f"s.{k}").alias(k) for k in keys]).agg(F.first("s.n").alias("n"), *counts)
+    each = F.explode(
+        F.array(*[F.struct(F.lit(float(q)).alias("q"), F.col(f"below{i}__").alias("below"), F.col(f"upto{i}__").alias("upto")) for i, q in enumerate(sorted(quantiles))])
+    ).alias("e")
+    rank = F.floor(F.col("e.q") * (F.col("n") - 1))
+    return met.select(*keys, "n", each).select(*keys, "e.q", "n", rank.alias("rank"), ((F.col("e.below") <= rank) & (F.col("e.upto") > rank)).alias("within"))

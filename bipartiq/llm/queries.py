@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bipartiq.llm import lookalike, packing, quantiles, tokens, topn
+from bipartiq.session import materialize
 from bipartiq.tables import table
 
 QUANTILES = [0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
@@ -24,7 +25,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
         "trial": topn.ascending(F.col("trial_id")),
     }
     wanted = ["dataset", "ants", "trial_id"]
-    return topn.top_n(valid.select(*wanted, "final_edges", "time_to_best_s"), ["dataset", "ants"], words, 5).select(*wanted)
+    return topn.top_n(valid, ["dataset", "ants"], words, 5, wanted)
 
 
 P2_FOUND = """
@@ -33,8 +34,8 @@ WITH latest AS (
 ), ranked AS (
   SELECT dataset, ants, trial_id, row_number() OVER (
     PARTITION BY dataset, ants ORDER BY final_edges DESC,
-    CASE WHEN time_to_best_s IS NULL OR isnan(time_to_best_s) OR time_to_best_s < 0 THEN 'infinity'::DOUBLE ELSE time_to_best_s END,
-    trial_id) AS place
+    time_to_best_s IS NULL OR isnan(time_to_best_s) OR time_to_best_s < 0,
+    CASE WHEN time_to_best_s >= 0 AND NOT isnan(time_to_best_s) THEN time_to_best_s END, trial_id) AS place
   FROM latest WHERE version = 1 AND ants IS NOT NULL AND final_edges >= 0
 )
 SELECT dataset, ants, trial_id FROM ranked WHERE place <= 5
@@ -68,6 +69,23 @@ def p5_merged_days(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(quantiles.percentiles(quantiles.merge(days, keys), keys, QUANTILES))
 
 
+def p5_within_bound(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the percentiles keep their error bound, by exact ranks in the rows."""
+    keys = ["field", "dataset", "ants"]
+    rows = materialize(_measured(spark, folder), "measured")
+    found = quantiles.percentiles(quantiles.sketch(rows, keys, F.col("x")), keys, QUANTILES)
+    return quantiles.within_bound(rows, keys, F.col("x"), materialize(found, "estimates"), QUANTILES)
+
+
+#: The number of values and the ranks, which must all be within the bound.
+P5_WITHIN = f"""
+WITH x AS (
+  SELECT 'wall_time_s' AS field, dataset, ants FROM vary_trials WHERE isfinite(wall_time_s) AND wall_time_s >= 0
+  UNION ALL SELECT 'edge_pct_increase', dataset, NULL FROM compare_rows WHERE isfinite(edge_pct_increase)
+), n AS (SELECT field, dataset, ants, count(*) AS n FROM x GROUP BY ALL)
+SELECT field, dataset, ants, q, n, floor(q * (n - 1))::BIGINT AS rank, true AS within FROM n, (SELECT unnest({QUANTILES}::DOUBLE[]) AS q)
+"""
+
 _LN_GAMMA = "ln(1.01 / 0.99)"
 P5_PERCENTILES = f"""
 WITH x AS (
@@ -117,13 +135,8 @@ def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.variant_classes(table(spark, folder, "documents"))
 
 
-P8_FORMS = f"""
-SELECT doc_id, f AS form, regexp_matches(f, '[^\\s]') AS shows
-FROM (SELECT doc_id, {lookalike.form_sql("text")} AS f FROM documents)
-"""
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p5_percentiles, p5_merged_days, p6_ids, p7_containers, p7_report, p8_found, p8_forms, p8_classes)
+    for f in (p2_found, p5_percentiles, p5_merged_days, p5_within_bound, p6_ids, p7_containers, p7_report, p8_found, p8_forms, p8_classes)
 }
-SQL = {"p2_found": P2_FOUND, "p5_percentiles": P5_PERCENTILES, "p5_merged_days": P5_PERCENTILES, "p8_forms": P8_FORMS}
+SQL = {"p2_found": P2_FOUND, "p5_percentiles": P5_PERCENTILES, "p5_merged_days": P5_PERCENTILES, "p5_within_bound": P5_WITHIN}

@@ -1,7 +1,9 @@
 """The best N rows of every group, by simultaneous bisection of all groups' cutoffs.
 
-A row's rank is an order-preserving code: a list of numeric words, the smaller
-the better, of which the last identifies the row. All groups look for their
+A row's rank is an order-preserving code: a list of 64-bit integer words, the
+smaller the better, of which the last identifies the row. Doubles enter as the
+integers of their bits, which sort like them (``ascending_time``), so a word has 64
+bits whatever its values, and at most nine passes settle it. All groups look for their
 cutoff at once. Each pass splits the interval that still holds a group's cutoff
 into ``SPLITS`` equal parts, which is eight bisections in one, counts the rows of
 each part, and keeps the part in which the N-th row lies; where a part's rows all
@@ -37,8 +39,14 @@ def ascending(col: Column) -> Column:
 
 
 def ascending_time(col: Column) -> Column:
-    """A floating word for times: null, NaN and negative values come last, as equals."""
-    return F.when(col.isNotNull() & ~F.isnan(col) & (col >= 0), col + 0.0).otherwise(F.lit(float("inf")))
+    """A word for times: the bits of a double of 0 or more, which sort like it; null, NaN and negative values come last, as equals.
+
+    Equal parts of the bits are nearly equal ratios of the values, so times of any
+    spread are told apart in as few passes as even ones. Infinity is a time, before null.
+    """
+    value = col.cast("double")
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + 0.0).cast("long")
+    return F.when(value.isNotNull() & ~F.isnan(value) & (value >= 0), bits).otherwise(F.lit(2**63 - 1))
 
 
 def _same(keys: list[str], left: str, right: str) -> Column:
@@ -51,9 +59,7 @@ def _part(value: str, low: str, high: str) -> Column:
     exact = (hi.cast("double") - lo.cast("double")) < 2.0**52
     offset = F.when(exact, F.try_subtract(x, lo).cast("double")).otherwise(x.cast("double") - lo.cast("double"))
     width = F.when(exact, F.try_subtract(hi, lo).cast("double")).otherwise(hi.cast("double") - lo.cast("double"))
-    # An interval that ends at infinity: its finite part lies below, infinity alone above.
-    ratio = F.when(width == float("inf"), F.when(x == float("inf"), 1.0).otherwise(0.0)).otherwise(offset / width)
-    return F.least(F.floor(ratio * SPLITS).cast("int"), F.lit(SPLITS - 1))
+    return F.least(F.floor(offset / width * SPLITS).cast("int"), F.lit(SPLITS - 1))
 
 
 def _inside(rows: DataFrame, state: DataFrame, groups: int, keys: list[str], words: list[str]) -> DataFrame:
@@ -63,12 +69,13 @@ def _inside(rows: DataFrame, state: DataFrame, groups: int, keys: list[str], wor
     return rows.alias("r").join(small.alias("s"), _same(keys, "r", "s") & within)
 
 
-def cutoffs(coded: DataFrame, keys: list[str], words: list[str], n: int) -> DataFrame:
+def cutoffs(coded: DataFrame, keys: list[str], words: list[str], n: int, passes: list[int] | None = None) -> DataFrame:
     """The cutoff code of every group with more than n rows.
 
-    Columns: the keys and ``cut_<word>`` for each word; a null word stands for
-    infinity. Exactly n rows of such a group have codes up to its cutoff, or more
-    where rows tie in all words.
+    Columns: the keys and ``cut_<word>`` for each word; a null word stands for one
+    past all values. Exactly n rows of such a group have codes up to its cutoff, or more
+    where rows tie in all words. ``passes``, if given, collects the number of groups
+    each pass began with.
     """
     bounds = [f(w).alias(f"{p}_{w}") for w in words for f, p in ((F.min, "lo"), (F.max, "hi"))]
     kept = [f"{p}_{w}" for w in words for p in ("lo", "hi")]
@@ -87,6 +94,8 @@ def cutoffs(coded: DataFrame, keys: list[str], words: list[str], n: int) -> Data
     left = state.count()
     while left:
         open_groups = left
+        if passes is not None:
+            passes.append(left)
         # The first word that still differs in a group decides its order.
         level = F.coalesce(*[F.when(F.col(f"lo_{w}") < F.col(f"hi_{w}"), i) for i, w in enumerate(words)])
         leveled = state.withColumn("level", level)
@@ -120,10 +129,7 @@ def cutoffs(coded: DataFrame, keys: list[str], words: list[str], n: int) -> Data
         full = holder.filter("upto = need").select(*keys, *cut)
         found = full.unionByName(tied)
         done = found if done is None else done.unionByName(found)
-        state = materialize(
-            holder.filter("upto > need").select(*keys, (F.col("need") - F.col("upto") + F.col("rows")).alias("need"), *kept),
-            "cut",
-        )
+        state = holder.filter("upto > need").select(*keys, (F.col("need") - F.col("upto") + F.col("rows")).alias("need"), *kept)
         left = state.count()
         if left:
             rows = materialize(
@@ -134,24 +140,26 @@ def cutoffs(coded: DataFrame, keys: list[str], words: list[str], n: int) -> Data
     return done.select(*keys, *cuts)
 
 
-def top_n(df: DataFrame, keys: list[str], words: dict[str, Column], n: int) -> DataFrame:
+def top_n(df: DataFrame, keys: list[str], words: dict[str, Column], n: int, keep: list[str] | None = None) -> DataFrame:
     """The n best rows of every group; all rows of a group with fewer.
 
-    ``words`` are the numeric words of the code by name, best first, the last of
+    ``words`` are the integer words of the code by name, best first, the last of
     which should identify the row. Rows that tie in all words at the cutoff all
     stay, so repeated rows never make the result arbitrary: give an identifier to
     have exactly n. Null keys form groups of their own; a null word must be mapped
-    by the caller (see ``ascending`` and ``descending``). All columns of df stay.
+    by the caller (see ``ascending`` and ``descending``). ``keep`` names the columns
+    to return, by default all; others are neither written nor moved.
     """
+    keep = df.columns if keep is None else keep
     if n < 1:
-        return df.limit(0)
+        return df.select(*[F.col(f"`{c}`") for c in keep]).limit(0)
     names = [f"word{i}__" for i in range(len(words))]
-    held = [f"c{i}__" for i in range(len(df.columns))]  # own columns under neutral names: any name may come
+    held = [f"c{i}__" for i in range(len(keep))]  # own columns under neutral names: any name may come
     group_names = [f"k{i}__" for i in range(len(keys))]
     coded = materialize(
         df.select(
             *[F.col(f"`{k}`").alias(g) for k, g in zip(keys, group_names)],
-            *[F.col(f"`{c}`").alias(h) for c, h in zip(df.columns, held) if c not in keys],
+            *[F.col(f"`{c}`").alias(h) for c, h in zip(keep, held) if c not in keys],
             *[c.alias(m) for c, m in zip(words.values(), names)],
         ),
         "coded",
@@ -162,13 +170,13 @@ def top_n(df: DataFrame, keys: list[str], words: dict[str, Column], n: int) -> D
     for m in reversed(names):
         x, c = F.col(f"r.{m}"), F.col(f"c.cut_{m}")
         within = c.isNull() | (x < c) | ((x == c) & within)
-    own = {c: g for c, g in zip(keys, group_names)} | {c: h for c, h in zip(df.columns, held) if c not in keys}
+    own = {c: g for c, g in zip(keys, group_names)} | {c: h for c, h in zip(keep, held) if c not in keys}
     # A group without a cutoff keeps all its rows: its cut words are null in the outer join.
     return (
         coded.alias("r")
         .join(small.alias("c"), _same(group_names, "r", "c"), "left")
         .filter(within)
-        .select(*[F.col(f"r.{own[c]}").alias(c) for c in df.columns])
+        .select(*[F.col(f"r.{own[c]}").alias(c) for c in keep])
     )
 
 

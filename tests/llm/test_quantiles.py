@@ -14,7 +14,7 @@ def make(seed=1):
     rows += [("ties", i % 3, rng.choice([0.0, -0.0, 1.0, 1.0, -2.5])) for i in range(500)]
     rows += [(None, 0, rng.gauss(0, 1)) for _ in range(800)]
     rows += [("wide", 0, x) for x in (None, math.nan, math.inf, -math.inf)] + [("none", 0, math.nan)]
-    return rows + [("tiny", 0, 5e-324), ("tiny", 0, 1.7e308)]
+    return rows + [("tiny", 0, 5e-324), ("tiny", 0, 1.7e308), ("huge", 0, 1.7976931348623157e308), ("huge", 0, -1.79e308), ("huge", 0, 1.77e308)]
 
 
 def check(found, rows, alpha):
@@ -55,3 +55,13 @@ def test_empty_table_and_clashing_names(spark):
     got = q.percentiles(q.sketch(df.select(F.col("n").alias("g"), "x", "bucket"), ["g"], F.col("x")), ["g"], [0.5])
     assert [(r["g"], r["n"]) for r in got.collect()] == [("a", 1)]
     assert q.percentiles(q.sketch(df.limit(0).select(F.col("n").alias("g"), "x"), ["g"], F.col("x")), ["g"], [0.5]).count() == 0
+
+
+def test_bound_is_checked_by_exact_ranks(spark):
+    rows = make(3)
+    df = spark.createDataFrame(rows, "k string, day int, x double")
+    found = q.percentiles(q.sketch(df, ["k"], F.col("x")), ["k"], QS)
+    checked = q.within_bound(df, ["k"], F.col("x"), found, QS).collect()
+    assert len(checked) == found.count() and all(r["within"] for r in checked)
+    wrong = found.withColumn("estimate", F.col("estimate") * 1.03 + 0.5)
+    assert not all(r["within"] for r in q.within_bound(df, ["k"], F.col("x"), wrong, QS).collect())

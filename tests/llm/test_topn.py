@@ -19,7 +19,8 @@ def words():
 
 def order(r):
     t = r[4]
-    return (-r[3] if r[3] is not None else math.inf, math.inf if t is None or t != t or t < 0 else t, r[2])
+    last = t is None or t != t or t < 0
+    return (-r[3] if r[3] is not None else math.inf, last, 0.0 if last else t, r[2])
 
 
 def brute(rows, n):
@@ -75,3 +76,30 @@ def test_clashing_names(spark):
     df = spark.createDataFrame([("a", i, i % 3, i) for i in range(30)], "need string, part bigint, level bigint, c0__ bigint")
     got = topn.top_n(df, ["need", "level"], {"x": topn.descending(F.col("part"))}, 2)
     assert got.columns == df.columns and sorted(r["part"] for r in got.collect()) == [24, 25, 26, 27, 28, 29]
+
+
+def test_passes_are_bounded_for_times_of_any_spread(spark):
+    """Log-uniform times: one word settles within nine passes, whatever their magnitudes."""
+    rng = random.Random(9)
+    rows = [("g", i, math.exp(rng.uniform(-700, 700))) for i in range(30_000)]
+    df = spark.createDataFrame(rows, "k string, i bigint, t double")
+    passes: list[int] = []
+    coded = df.select("k", topn.ascending_time(F.col("t")).alias("w0"), F.col("i").alias("w1"))
+    cut = topn.cutoffs(coded, ["k"], ["w0", "w1"], 777, passes).first()
+    assert len(passes) <= 9
+    kept = coded.filter(F.col("w0") <= cut["cut_w0"]).count()
+    assert kept == 777
+
+
+def test_large_state_shuffles_and_gives_the_same(spark, monkeypatch):
+    """Beyond the size that may be broadcast the cutoffs are joined by a shuffle."""
+    rows = make(5)
+    df = spark.createDataFrame(rows, SCHEMA).drop("word_edges__")
+    monkeypatch.setattr(topn, "broadcast_if_small", lambda d, rows, row_bytes=0: d)
+    assert sorted(r["trial_id"] for r in topn.top_n(df, KEYS, words(), 5).collect()) == brute(rows, 5)
+
+
+def test_kept_columns_only(spark):
+    df = spark.createDataFrame([("a", i, i) for i in range(9)], "k string, x bigint, y bigint")
+    got = topn.top_n(df, ["k"], {"x": topn.descending(F.col("x"))}, 2, ["y"])
+    assert got.columns == ["y"] and sorted(r["y"] for r in got.collect()) == [7, 8]
