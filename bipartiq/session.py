@@ -137,14 +137,19 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in parts of so many rows at most, whatever the session's own limits are.
+def slices(batches: Iterator[pa.RecordBatch], rows: int, size: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of so many rows and about so many bytes at most, a row at least.
 
-    Spark bounds a batch's bytes (64 MB by default); this bounds what a step works on at once.
+    Whatever the session's own limits are: this bounds what a step works on at once.
     """
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        start = 0
+        while start < batch.num_rows:
+            part = batch.slice(start, rows)
+            while part.num_rows > 1 and part.nbytes > size:
+                part = part.slice(0, part.num_rows // 2)
+            yield part
+            start += part.num_rows
 
 
 def arrow_rows(spark: SparkSession, rows: int) -> None:
