@@ -5,7 +5,16 @@ take out invisible characters, ``nfc_normalize`` composes accents, ``translate``
 maps width forms, word spaces and look-alike letters one to one, and ``replace``
 opens ligatures. What a reader can tell apart stays apart: case, accents, raised,
 lowered and circled signs, line breaks, and the number of spaces. Compatibility
-folding (NFKC) would merge those, so it isn't used.
+folding (NFKC) would merge those, so it isn't used. Instead the maps follow the
+tags of Unicode's own decompositions (``unicodedata``): width, no-break and Arabic
+presentation forms change no look, raised, lowered, circled, squared, fraction,
+small, vertical and font forms do, and of those tagged compat the ones that open
+into letters alone count (ligatures, digraphs, Roman numerals, radicals, the micro
+sign), with the exceptions listed. What Unicode data can't say is in word lists.
+
+Joiners, selectors and tags that make up an emoji stay: a flag, a profession or a
+text presentation of a sign looks different without them. Every kind of line break
+is one: CR LF, CR, vertical tab, form feed, NEL and both separators.
 
 Null stays null and an empty text empty. A text of nothing but spaces, line
 breaks and invisible characters shows nothing; ``shows`` is false for it.
@@ -13,27 +22,39 @@ breaks and invisible characters shows nothing; ``shows`` is false for it.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bipartiq.session import arrow_rows, materialize
+from bipartiq.session import materialize, ship, slices
 
-TEXTS_PER_BATCH = 512
+TEXTS_AT_ONCE = 512
 
 # Characters that leave no mark of their own, as ranges of a regular
-# expression (soft hyphen, joiners, direction marks, fillers, byte order mark,
-# variation selectors, tags).
+# expression (controls, soft hyphen, joiners, direction marks, fillers, byte order
+# mark, variation selectors, tags). Tabs and line breaks stay.
 INVISIBLE = (
-    r"[\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}"
-    r"\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}\x{E0000}-\x{E0FFF}]"
+    r"[\x{0000}-\x{0008}\x{000E}-\x{001F}\x{007F}-\x{009F}\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}"
+    r"\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}\x{FFF9}-\x{FFFB}\x{E0000}-\x{E0FFF}]"
+)
+# Signs that have an emoji presentation or may join into emoji.
+PICTOGRAPHS = (
+    r"\x{00A9}\x{00AE}\x{203C}\x{2049}\x{2122}\x{2139}\x{2194}-\x{21AA}\x{2300}-\x{23FF}\x{24C2}\x{25AA}-\x{25FE}\x{2600}-\x{27BF}"
+    r"\x{2934}\x{2935}\x{2B00}-\x{2BFF}\x{3030}\x{303D}\x{3297}\x{3299}\x{1F000}-\x{1FAFF}"
 )
 # Spaces between words other than the plain one. Tabs and line breaks stay.
 SPACES = "\u00a0\u1680\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
-# Ligatures and digraphs, with the letters they show.
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ſt", "ﬆ": "st", "ĳ": "ij", "Ĳ": "IJ", "ǉ": "lj", "Ǉ": "LJ", "ǌ": "nj", "Ǌ": "NJ"}
+# Line breaks other than LF and CR.
+BREAKS = "\u000b\u000c\u0085\u2028\u2029"
+# Tags of decompositions that change no look.
+SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<isolated>", "<initial>", "<medial>", "<final>")
+# Compatibility letters whose shape isn't that of the letters they stand for, as ranges:
+# long s, a with half ring, Greek symbol variants, Hangul letters that would join, the Euler constant.
+OTHER_SHAPE = ((0x017F, 0x017F), (0x1E9A, 0x1E9A), (0x03D0, 0x03FF), (0x3131, 0x318E), (0x2107, 0x2107))
 # Letters and signs of other scripts with the look of Latin ones.
 LOOKALIKES = {
     # Cyrillic
@@ -47,42 +68,72 @@ LOOKALIKES = {
     "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ό": "ó", "ὸ": "ò", "Ϊ": "Ï", "Ϋ": "Ÿ",
     # Armenian, Latin variants, hyphens, signs
     "օ": "o", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "ɡ": "g", "ɑ": "a", "‐": "-", "‑": "-",
+    # Mathematical and modifier signs with the look of Greek letters and of punctuation
+    "∆": "Δ", "∑": "Σ", "∏": "Π", "⋅": "·", "∕": "/", "⁄": "/", "∣": "|", "∶": ":", "ʼ": "’",
 }
 
 
-def width_forms() -> dict[str, str]:
-    """Full-width ASCII and signs, and half-width katakana, with their usual forms."""
-    import unicodedata
-
-    wide = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
-    others = [*range(0xFF5F, 0xFFBF), *range(0xFFE0, 0xFFE7), *range(0xFFE8, 0xFFEF)]
-    for c in others:
-        usual = unicodedata.normalize("NFKC", chr(c))
-        if len(usual) == 1 and unicodedata.decomposition(chr(c)).startswith(("<wide>", "<narrow>")):
-            wide[chr(c)] = usual
-    return wide
+@lru_cache(maxsize=1)
+def compatibility_forms() -> dict[str, str]:
+    """Characters with the look of others by Unicode's decompositions, with those others."""
+    forms: dict[str, str] = {}
+    for code in range(0x10000):
+        char = chr(code)
+        tag, *codes = unicodedata.decomposition(char).split() or [""]
+        if not tag.startswith("<") or not codes or codes[0] == "0020" or any(low <= code <= high for low, high in OTHER_SHAPE):
+            continue
+        usual = "".join(chr(int(c, 16)) for c in codes)
+        letters = all(unicodedata.category(c)[0] in "LM" or c == "\u00b7" for c in usual)
+        if (tag in SAME_LOOK and len(usual) <= 4) or (tag == "<compat>" and letters):
+            forms[char] = usual
+    # Degree signs that are one character with their letter.
+    return forms | {"\u2103": "°C", "\u2109": "°F"}
 
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _class(chars: list[str]) -> str:
+    """A regular expression's character class, with neighbours as ranges."""
+    codes, ranges = sorted(map(ord, chars)), []
+    for c in codes:
+        if ranges and c == ranges[-1][1] + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{low:04X}}}-\\x{{{high:04X}}}" for low, high in ranges) + "]"
+
+
+def _translated(sql: str, one: dict[str, str]) -> str:
+    return f"translate({sql}, {_quoted(''.join(one))}, {_quoted(''.join(one.values()))})"
+
+
+@lru_cache(maxsize=1)
 def form_sql(column: str = "text") -> str:
     """The DuckDB expression of a text's consistent form."""
-    one = {s: " " for s in SPACES} | width_forms() | LOOKALIKES
-    sources, targets = "".join(one), "".join(one.values())
+    forms = compatibility_forms()
+    usual = {s: " " for s in SPACES} | {s: "\n" for s in BREAKS} | LOOKALIKES
+    # Width forms, which are common, go with the look-alikes; rarer ones are only looked for in texts that hold any.
+    common = {c: LOOKALIKES.get(f, f) for c, f in forms.items() if len(f) == 1 and 0xFF01 <= ord(c) <= 0xFF5E}
+    rare = {c: f for c, f in forms.items() if len(f) == 1 and c not in common and c not in usual}
+    several = {c: f for c, f in forms.items() if len(f) > 1}
+    mods = r"[\x{FE0E}\x{FE0F}\x{1F3FB}-\x{1F3FF}]*"
+    emoji = rf"[{PICTOGRAPHS}]{mods}(?:\x{{200D}}[{PICTOGRAPHS}]{mods})*(?:[\x{{E0020}}-\x{{E007E}}]+\x{{E007F}})?|[0-9#*]\x{{FE0F}}?\x{{20E3}}"
+    broken = f"replace(replace(translate({column}, {_quoted(BREAKS)}, repeat(chr(10), {len(BREAKS)})), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    seen = f"regexp_replace({broken}, {_quoted(f'({emoji})|{INVISIBLE}')}, '\\1', 'g')"
+    opened = _translated("s", rare)
+    for sign, letters in several.items():
+        opened = f"replace({opened}, {_quoted(sign)}, {_quoted(letters)})"
     # Accents compose before and after the letters change: an accent may stand on either kind.
-    sql = f"nfc_normalize(regexp_replace({column}, {_quoted(INVISIBLE)}, '', 'g'))"
-    for sign, letters in LIGATURES.items():
-        sql = f"replace({sql}, {_quoted(sign)}, {_quoted(letters)})"
-    sql = f"nfc_normalize(translate({sql}, {_quoted(sources)}, {_quoted(targets)}))"
-    return f"replace(replace({sql}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    plain = f"list_transform([nfc_normalize({seen})], lambda s: CASE WHEN regexp_matches(s, {_quoted(_class([*rare, *several]))}) THEN {opened} ELSE s END)[1]"
+    return f"nfc_normalize({_translated(plain, usual | common)})"
 
 
 def consistent_form(df: DataFrame, text: str = "text", keep: list[str] | None = None, name: str = "form") -> DataFrame:
     """``keep`` columns with ``name``, the consistent form of the text, and ``shows``."""
     keep = df.columns if keep is None else keep
-    arrow_rows(df.sparkSession, TEXTS_PER_BATCH)
+    ship(df.sparkSession)
     sql = (
         f"SELECT * EXCLUDE (t__, f__), f__ AS \"{name}\", regexp_matches(f__, '[^\\s]') AS shows "
         f"FROM (SELECT *, {form_sql('t__')} AS f__ FROM batch)"
@@ -92,7 +143,7 @@ def consistent_form(df: DataFrame, text: str = "text", keep: list[str] | None =
         import duckdb
 
         with duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "512MB"}) as db:
-            for batch in batches:
+            for batch in slices(batches, TEXTS_AT_ONCE, 8 << 20):
                 db.register("batch", pa.table(batch))
                 yield from db.sql(sql).to_arrow_table().to_batches()
                 db.unregister("batch")
@@ -131,7 +182,9 @@ def variant_pairs(df: DataFrame, ident: str = "doc_id", text: str = "text") -> D
     """Pairs of documents whose texts look the same but differ in their characters.
 
     Only looks with at least two different spellings are paired, and only across
-    spellings, so exact copies never meet each other. Columns ``<ident>_a`` and
+    spellings, so exact copies never meet each other. The pairs of a look grow with
+    the square of its documents: a look that many documents share is better read
+    from ``variant_classes``, one row per document. Columns ``<ident>_a`` and
     ``<ident>_b``, the smaller id first. A document id that comes up several times
     is paired once; null ids aren't paired.
     """

@@ -9,6 +9,8 @@ SAME = [
 ]
 DIFFERENT = [
     "run 12", "run 1²", "run ①2", "Run 12", "rün 12", "run  12", "run\n12", "run12", "run 1½", "no", "№", "nº", "tm", "™", "x = y", "x ≠ y", "k·θ", "kθ", "“a”", '"a"', "…", "...", "l", "1", "I", "O", "0", "",
+    "\U0001f3f4", "\U0001f3f4\U000e0067\U000e0062\U000e0065\U000e006e\U000e0067\U000e007f", "\U0001f3f4\U000e0067\U000e0062\U000e0073\U000e0063\U000e0074\U000e007f",
+    "\U0001f469\u200d\U0001f52c", "\U0001f469\U0001f52c", "\u2764", "\u2764\ufe0f", "\u2764\ufe0e", "1\ufe0f\u20e3", "a", "\u1d43", "\u24d0", "\u3131\u314f", "\uac00", "-", "\u2013", "\u03b8", "\u03d1", "s", "\u017f", "\u210c", "H",
 ]
 
 
