@@ -101,6 +101,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return _drift(spark, folder).changes().select("stream_id", "file_seq", "change", "field", "new_field")
 
 
+def p4_scripts(spark: SparkSession, folder: str) -> DataFrame:
+    """The tree edit script between each file's schema and the one before: operations on objects and fields, with their costs."""
+    return _drift(spark, folder).scripts().withColumn("cost", F.round("cost", 6))
+
+
 def p4_unified(spark: SparkSession, folder: str) -> DataFrame:
     """Every record with the columns named in problem 4, whatever its file calls them."""
     table_ = _drift(spark, folder).unified()
@@ -120,7 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_trials, p1_epochs, p1_replicates, p1_best_times,
-        p3_found, p3_degrees, p3_profile, p3_median_neighbour, p4_found, p4_unified,
+        p3_found, p3_degrees, p3_profile, p3_median_neighbour, p4_found, p4_scripts, p4_unified,
     )
 }
 SQL = {

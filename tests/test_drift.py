@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from bipartiq.operators.drift import Drift, cheapest_script, edit_cost
+from bipartiq.operators.drift import Drift, assignment, edit_cost, edit_script
 
 SCHEMA = "rec_id bigint, family string, stream_id bigint, file_seq int, line_no int, run_key string, fields string, body string"
 
@@ -70,16 +70,24 @@ def test_many_files_in_blocks(spark):
     assert len(got) == 9 and all(c[1] == "renamed" for c in got)
 
 
-def test_cheapest_script_is_one_to_one_and_least():
-    assert edit_cost("m.ttb", "ttb") < edit_cost("m.ttb", "xyz") < 2
+def cost(old, new):
+    return edit_cost(tuple(old.split(".")), tuple(new.split(".")))
+
+
+def cheapest(pairs):
+    return assignment({p: cost(*p) - 2 for p in pairs})
+
+
+def test_assignment_is_one_to_one_and_least():
+    assert cost("m.ttb", "ttb") < cost("m.ttb", "xyz") < 2
     pairs = [("m.a", "a"), ("m.a", "b"), ("m.b", "a"), ("m.b", "b")]
-    assert cheapest_script(pairs) == [("m.a", "a"), ("m.b", "b")]
-    assert cheapest_script([("x", "p"), ("y", "p"), ("y", "q")]) == [("x", "p"), ("y", "q")]
-    assert cheapest_script([]) == []
+    assert cheapest(pairs) == [("m.a", "a"), ("m.b", "b")]
+    assert cheapest([("x", "p"), ("y", "p"), ("y", "q")]) == [("x", "p"), ("y", "q")]
+    assert cheapest([]) == []
 
 
 @pytest.mark.parametrize("seed", range(8))
-def test_cheapest_script_against_all_choices(seed):
+def test_assignment_against_all_choices(seed):
     import itertools
     import random
 
@@ -92,6 +100,77 @@ def test_cheapest_script_against_all_choices(seed):
             for right in itertools.combinations(news, n):
                 chosen = list(zip(left, right))
                 if all(p in pairs for p in chosen):
-                    best = min(best, sum(edit_cost(*p) - 2 for p in chosen))
-    got = cheapest_script(pairs)
-    assert abs(sum(edit_cost(*p) - 2 for p in got) - best) < 1e-9
+                    best = min(best, sum(cost(*p) - 2 for p in chosen))
+    assert abs(sum(cost(*p) - 2 for p in cheapest(pairs)) - best) < 1e-9
+
+
+def fields(*names):
+    return {n: "number" for n in names}
+
+
+def test_a_renamed_object_carries_its_leaves():
+    old, new = fields("c.meta.a", "c.meta.b", "c.meta.deep.x", "k"), fields("c.info.a", "c.info.bb", "c.info.deep.x", "k")
+    script = edit_script(old, new, [("c.meta.a", "c.info.a"), ("c.meta.b", "c.info.bb"), ("c.meta.deep.x", "c.info.deep.x")])
+    assert {r[:4] for r in script} == {
+        ("rename", "object", "c.meta", "c.info"), ("carry", "object", "c.meta.deep", "c.info.deep"), ("carry", "leaf", "c.meta.a", "c.info.a"),
+        ("rename", "leaf", "c.meta.b", "c.info.bb"), ("carry", "leaf", "c.meta.deep.x", "c.info.deep.x"),
+    }
+    assert sum(r[4] for r in script) < 2
+
+
+def test_a_subtree_moves_and_a_leaf_leaves_it():
+    old, new = fields("m.a", "m.b", "m.c", "k.z"), fields("k.m.a", "k.m.b", "c", "k.z")
+    script = {r[:4] for r in edit_script(old, new, [("m.a", "k.m.a"), ("m.b", "k.m.b"), ("m.c", "c")])}
+    assert script == {("move", "object", "m", "k.m"), ("carry", "leaf", "m.a", "k.m.a"), ("carry", "leaf", "m.b", "k.m.b"), ("move", "leaf", "m.c", "c")}
+
+
+def test_nothing_is_mapped_without_evidence():
+    script = {r[:4] for r in edit_script(fields("m.a"), fields("n.a"), [])}
+    assert script == {("delete", "object", "m", ""), ("add", "object", "n", ""), ("delete", "leaf", "m.a", ""), ("add", "leaf", "n.a", "")}
+    assert edit_script({}, {}, []) == [] and edit_script({"a": "number"}, {"a": "string"}, []) == [("retype", "leaf", "a", "", 0.5)]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_script_cost_against_all_mappings(seed):
+    """Of all mappings of objects that keep ancestors, none with the best leaves is cheaper."""
+    import itertools
+    import random
+
+    from bipartiq.operators.drift import SchemaTree, _image
+
+    rng = random.Random(seed)
+    old = fields(*{f"{rng.choice('pq')}.{rng.choice(['', 'r.'])}{rng.choice('abc')}" for _ in range(5)})
+    new = fields(*{f"{rng.choice('st')}.{rng.choice(['', 'r.', 'w.'])}{rng.choice('abc')}" for _ in range(5)})
+    borne = [(o, n) for o in old for n in new if o[-1] == n[-1] or rng.random() < 0.1]
+    a, b = SchemaTree(old), SchemaTree(new)
+    nodes = len(a.inner) + len(b.inner) + len(old) + len(new)
+    best = float("inf")
+    for n in range(min(len(a.inner), len(b.inner)) + 1):
+        for left in itertools.combinations(sorted(a.inner), n):
+            for right in itertools.permutations(sorted(b.inner), n):
+                mapped = dict(zip(left, right))
+                ok = all((x[: len(z)] == z) == (mapped[x][: len(mapped[z])] == mapped[z]) for x in left for z in left)
+                leaf = {(o, m): edit_cost(_image(tuple(o.split(".")), mapped), tuple(m.split("."))) - 2 for o, m in borne}
+                chosen = assignment(leaf)
+                held = all(any(tuple(o.split("."))[: len(x)] == x and tuple(m.split("."))[: len(y)] == y for o, m in chosen) for x, y in mapped.items())
+                if ok and held:
+                    inner = sum(edit_cost(_image(x, mapped), y) - 2 for x, y in mapped.items())
+                    best = min(best, nodes + inner + sum(leaf[p] for p in chosen))
+    got = sum(r[4] for r in edit_script(old, new, borne))
+    assert got <= best * 1.15 + 1e-9 and got >= best - 1e-9
+
+
+def test_scripts_table(spark):
+    df = records(spark, {1: [("r1", {"m": {"a": 5, "b": 6}})], 2: [("r1", {"n": {"a": 5, "b": 6}})]})
+    drift = Drift(df)
+    assert sorted(tuple(r)[2:6] for r in drift.scripts().collect()) == [
+        ("carry", "leaf", "m.a", "n.a"), ("carry", "leaf", "m.b", "n.b"), ("rename", "object", "m", "n"),
+    ]
+    assert sorted(tuple(r)[2:] for r in drift.changes().collect()) == [("renamed", "m.a", "n.a"), ("renamed", "m.b", "n.b")]
+
+
+def test_large_and_fractional_numbers_compare():
+    from bipartiq.operators.drift import canonical
+
+    assert canonical(2.0) == canonical(2) != canonical("2") and canonical(1e22) == canonical(10**22) and canonical([1.0]) == canonical([1])
+    assert canonical(0.1) != canonical(0)
