@@ -2,11 +2,15 @@
 
 Each node of a document gets a Dewey label, the ordinals on the way from the
 root to it: the place in a list, or the place of a field in its object. The
-label's text twin, the path, holds positions and field names instead. A list
-item's parent is the object that holds the list, so parent links need no look-up
-at all: they are the item's own label without its last two components. Items
-that share a schema path (the path with ``[]`` for positions and ``*`` for
-open-ended names) make up one table.
+label's text twin, the path, holds positions and field names instead. Nodes that
+share a schema path (the path with ``[]`` for positions and ``*`` for open-ended
+names) make up one table. A node's parent is the nearest node above it that has a
+row, so parent links need no look-up at all: they are the node's own label without
+its last components, as many as the schema paths of the two tables differ by.
+
+``shred`` takes the schema paths wanted, ``shred_all`` finds them by itself: every
+object and every item of a list that holds objects or lists gets a row, with its
+plain values as its fields; ``schema_paths`` reports the tables found.
 
 JSON of unknown shape is read in Python, one pass over Arrow batches, because
 documents carry NaN literals, are wrapped as JSON strings, and write their lists
@@ -30,21 +34,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bipartiq.session import arrow_rows
+from bipartiq.session import ship, slices
 
-#: Layers of JSON text around a document, or around a list, that are taken off.
-MAX_WRAPS = 16
-#: Documents in one Arrow batch, and rows in one batch of the result.
-DOCS_PER_BATCH = 256
+#: Documents that a step works on at once, and rows in one batch of the result.
+DOCS_AT_ONCE = 256
 ROWS_PER_BATCH = 20_000
 
 NODES = "{id} {id_type}, dewey array<int>, path string, schema_path string, pos int, fields string"
 
 
 def parse_document(text: str | None) -> dict | None:
-    """The object that a body holds, or None if it holds none or is cut off."""
+    """The object that a body holds, in however many layers, or None if it holds none or is cut off."""
     value: object = text
-    for _ in range(MAX_WRAPS):
+    while True:  # each layer taken off leaves less
         if isinstance(value, dict):
             return value
         if isinstance(value, list) and len(value) == 1:
@@ -56,14 +58,11 @@ def parse_document(text: str | None) -> dict | None:
                 return None
         else:
             return None
-    return None
 
 
 def decoded(value: object) -> object:
     """A value that may be written as JSON text; other texts stay as they are."""
-    for _ in range(MAX_WRAPS):
-        if not isinstance(value, str) or not value.strip():
-            break
+    while isinstance(value, str) and value.strip():
         try:
             value = json.loads(value)
         except (ValueError, RecursionError):
@@ -106,23 +105,32 @@ def _finite(value: object) -> object:
     return [_finite(v) for v in value] if isinstance(value, list) else value
 
 
-def _own_fields(item: object, below: dict) -> str:
-    """An item's own values as JSON, without the lists that have tables of their own.
-
-    Within an object or list NaN and infinities become texts: get_json_object
+def _json(item: object) -> str:
+    """A value as JSON. Within an object or list NaN and infinities become texts: get_json_object
     gives null for every path of an object that holds such a literal. A lone
     number isn't read by path and stays as it is.
     """
-    if isinstance(item, dict):
-        item = {k: v for k, v in item.items() if "[]" not in below.get(k, {})}
     try:
         return json.dumps(item, ensure_ascii=False, allow_nan=not isinstance(item, (dict, list)))
     except ValueError:
         return json.dumps(_finite(item), ensure_ascii=False)
 
 
+def _pruned(item: object, below: dict) -> object:
+    """An item's own values, without the parts that have tables of their own."""
+    if not isinstance(item, dict) or not any(below):
+        return item
+    kept = {}
+    for name, value in item.items():
+        part = below.get(name, below.get("*", {}))
+        if "" in part or "[]" in part:
+            continue
+        kept[name] = _pruned(value, part) if part else value
+    return kept
+
+
 def label_nodes(document: dict, patterns: list[str], with_fields: bool = True) -> Iterator[tuple]:
-    """(dewey, path, pattern, place, own fields) of each item under one of the patterns."""
+    """(dewey, path, pattern, place, own fields) of each list item or object under one of the patterns."""
     stack: list[tuple] = [(document, _grow(patterns), (), ())]
     while stack:
         node, steps, dewey, path = stack.pop()
@@ -135,32 +143,57 @@ def label_nodes(document: dict, patterns: list[str], with_fields: bool = True) -
                         continue
                     here, label = (*dewey, place), (*path, str(place))
                     if "" in below:
-                        own = decoded(item) if any(k for k in below) else item
-                        yield here, "/".join(label), below[""], place, _own_fields(own, below) if with_fields else None
-                    if any(k for k in below):
+                        own = decoded(item) if any(below) else item
+                        yield here, "/".join(label), below[""], place, _json(_pruned(own, below)) if with_fields else None
+                    if any(below):
                         stack.append((item, below, here, label))
                 continue
             at = decoded(node)
             if step == "*":
                 names = list(at) if isinstance(at, dict) else range(len(at)) if isinstance(at, list) else ()
-                for place, name in enumerate(names):
-                    stack.append((at[name], below, (*dewey, place), (*path, str(name))))
-            elif isinstance(at, dict) and step in at:
-                stack.append((at[step], below, (*dewey, list(at).index(step)), (*path, step)))
-
+            else:
+                names = [step] if isinstance(at, dict) and step in at else ()
+            for place, name in enumerate(names):
+                here, label = (*dewey, place if step == "*" else list(at).index(step)), (*path, str(name))
+                if "" in below and isinstance(own := decoded(at[name]), dict):
+                    yield here, "/".join(label), below[""], None, _json(_pruned(own, below)) if with_fields else None
+                stack.append((at[name], below, here, label))
+
+
+def label_all(document: dict, open_names: frozenset[str] = frozenset()) -> Iterator[tuple]:
+    """(dewey, path, schema path, place, own fields) of every object, the document itself included, and of
+    every item of a list that holds objects or lists. Names within the objects named open count as ``*``."""
+    stack: list[tuple] = [(document, (), (), "", None)]
+    while stack:
+        node, dewey, path, schema, place = stack.pop()
+        if isinstance(node, list):
+            items, own = list(enumerate(node)), None
+        elif isinstance(node, dict):
+            own = {}
+            for at, (name, value) in enumerate(node.items()):
+                value = decoded(value) if isinstance(value, str) and value.lstrip()[:1] in ("{", "[") else value
+                held = list_items(value) if isinstance(value, (dict, list)) else []
+                step = "*" if path and path[-1] in open_names else name
+                below = f"{schema}/{step}" if schema else step
+                listed = isinstance(value, list) or bool(held) and isinstance(value, dict) and all(k.lstrip("-").isdecimal() for k in value)
+                if listed and any(isinstance(x, (dict, list)) for _, x in held):
+                    stack += [(x, (*dewey, at, i), (*path, name, str(i)), f"{below}[]", i) for i, x in held if x is not None]
+                elif isinstance(value, dict) and not listed:
+                    stack.append((value, (*dewey, at), (*path, name), below, None))
+                else:
+                    own[name] = value
+            items = []
+        else:
+            items, own = [], node
+        yield dewey, "/".join(path), schema, place, None if own is None else _json(own)
+        stack += [(x, (*dewey, i), (*path, str(i)), f"{schema}[]", i) for i, x in items if x is not None]
 
-def shred(df: DataFrame, id_col: str, body_col: str, patterns: list[str], with_fields: bool = True) -> DataFrame:
-    """Labelled list items of every document, one row per item that isn't null.
 
-    ``patterns`` name the lists wanted, such as ``trials[]`` or
-    ``results[]/runs/*/replicates[]``; nothing else is walked, so unwanted parts
-    of a document cost only their parsing. Columns: the id, ``dewey``, ``path``,
-    ``schema_path`` (the pattern), ``pos`` and ``fields`` (JSON of the item
-    without its own tables; null unless ``with_fields``).
-    """
+def _labelled(df: DataFrame, id_col: str, body_col: str, nodes_of) -> DataFrame:
+    """One row per node that ``nodes_of(document)`` yields."""
     id_type = df.schema[id_col].dataType.simpleString()
     schema = NODES.format(id=id_col, id_type=id_type)
-    arrow_rows(df.sparkSession, DOCS_PER_BATCH)
+    ship(df.sparkSession)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_type: pa.Schema | None = None
@@ -173,7 +206,7 @@ def shred(df: DataFrame, id_col: str, body_col: str, patterns: list[str], with_f
                 [pa.array(v, t.type) for v, t in zip([ids, *columns], out_type)], schema=out_type
             )
 
-        for batch in batches:
+        for batch in slices(batches, DOCS_AT_ONCE):
             out_type = pa.schema(
                 [
                     (id_col, batch.schema.field(0).type),
@@ -188,7 +221,7 @@ def shred(df: DataFrame, id_col: str, body_col: str, patterns: list[str], with_f
                 document = parse_document(body.as_py())
                 if document is None:
                     continue
-                for node in label_nodes(document, patterns, with_fields):
+                for node in nodes_of(document):
                     ids.append(ident)
                     rows.append(node)
                     if len(rows) >= ROWS_PER_BATCH:
@@ -200,9 +233,55 @@ def shred(df: DataFrame, id_col: str, body_col: str, patterns: list[str], with_f
     return df.select(id_col, body_col).mapInArrow(label, schema)
 
 
-def parent_dewey(dewey: Column) -> Column:
-    """The label of the object that holds an item's list: truncation by two."""
-    return F.slice(dewey, 1, F.greatest(F.size(dewey) - 2, F.lit(0)))
+def shred(df: DataFrame, id_col: str, body_col: str, patterns: list[str], with_fields: bool = True) -> DataFrame:
+    """Labelled nodes of every document, one row per list item that isn't null and per object under a pattern.
+
+    ``patterns`` name the lists and objects wanted, such as ``trials[]``,
+    ``results[]/runs/*`` or ``results[]/runs/*/replicates[]``; nothing else is
+    walked, so unwanted parts of a document cost only their parsing. Columns: the
+    id, ``dewey``, ``path``, ``schema_path`` (the pattern), ``pos`` (null for objects
+    that are no list items) and ``fields`` (JSON of the node without its own tables;
+    null unless ``with_fields``).
+    """
+    return _labelled(df, id_col, body_col, lambda document: label_nodes(document, patterns, with_fields))
+
+
+def shred_all(df: DataFrame, id_col: str, body_col: str, open_names: tuple[str, ...] = ()) -> DataFrame:
+    """The nodes of every document, under the schema paths it turns out to have.
+
+    Columns: the id, ``node_id``, ``parent_id`` (null for the document itself, whose
+    id is empty), ``schema_path``, ``parent_path`` (the parent's schema path), ``pos``
+    and ``fields``. Every parent has a row. Lists of plain values are values.
+    """
+    names = frozenset(open_names)
+    nodes = _labelled(df, id_col, body_col, lambda document: label_all(document, names))
+    schema = F.col("schema_path")
+    up = F.when(schema.endswith("[]") & ~schema.endswith("[][]"), 2).otherwise(1)
+    above = F.regexp_replace(schema, r"(\[\]|/?[^/\[\]]+(\[\])?)$", "")
+    root = F.size("dewey") == 0
+    return nodes.select(
+        id_col,
+        dewey_id(F.col("dewey")).alias("node_id"),
+        F.when(~root, dewey_id(F.slice("dewey", 1, F.greatest(F.size("dewey") - up, F.lit(0))))).alias("parent_id"),
+        schema.alias("schema_path"),
+        F.when(~root, above).alias("parent_path"),
+        "pos",
+        "fields",
+    )
+
+
+def schema_paths(nodes: DataFrame, id_col: str) -> DataFrame:
+    """(schema_path, parent_path, n_nodes, n_docs): the tables that ``shred_all`` found."""
+    per_doc = nodes.groupBy("schema_path", "parent_path", id_col).agg(F.count(F.lit(1)).alias("n"))
+    return per_doc.groupBy("schema_path", "parent_path").agg(F.sum("n").alias("n_nodes"), F.count(F.lit(1)).alias("n_docs"))
+
+
+def parent_table(schema_path: str, tables: list[str]) -> tuple[str, int]:
+    """The table that holds a table's parents ('' for the document), and how many components their labels lack."""
+    steps = lambda p: p.replace("[]", "/[]").split("/") if p else []
+    own = steps(schema_path)
+    above = max((t for t in ["", *tables] if t != schema_path and own[: len(steps(t))] == steps(t)), key=lambda t: len(steps(t)))
+    return above, len(own) - len(steps(above))
 
 
 def parent_path(path: Column) -> Column:
@@ -215,15 +294,20 @@ def dewey_id(dewey: Column) -> Column:
     return F.array_join(F.transform(dewey, lambda x: x.cast("string")), ".")
 
 
-def linked_table(nodes: DataFrame, id_col: str, schema_path: str, columns: dict[str, str]) -> DataFrame:
+def linked_table(nodes: DataFrame, id_col: str, schema_path: str, columns: dict[str, str], tables: list[str] | None = None) -> DataFrame:
     """The flat table of one schema path, with ``node_id`` and ``parent_id`` labels.
 
     ``columns`` maps a field's dotted path to its type; a path the item lacks, or
     whose value doesn't fit the type, comes out null. The path '' stands for the
     item itself, for lists of plain values. An array type reads a list of values;
-    an object read as string is its JSON.
+    an object read as string is its JSON. The parent is the node of the nearest
+    schema path above among ``tables``, or the document, whose label is empty;
+    without ``tables`` it is the object that holds the node or its list.
     """
     fields = F.col("fields")
+    up = parent_table(schema_path, tables)[1] if tables is not None else 2 if schema_path.endswith("[]") else 1
+    labels = F.slice("dewey", 1, F.greatest(F.size("dewey") - up, F.lit(0)))
+    names = F.slice(F.split("path", "/"), 1, F.greatest(F.size("dewey") - up, F.lit(0)))
 
     def column(path: str, kind: str) -> Column:
         value = fields if not path else F.get_json_object(fields, "$." + path)
@@ -233,8 +317,14 @@ def linked_table(nodes: DataFrame, id_col: str, schema_path: str, columns: dict[
     return nodes.filter(F.col("schema_path") == schema_path).select(
         id_col,
         dewey_id(F.col("dewey")).alias("node_id"),
-        dewey_id(parent_dewey(F.col("dewey"))).alias("parent_id"),
-        parent_path(F.col("path")).alias("parent_path"),
+        dewey_id(labels).alias("parent_id"),
+        F.array_join(names, "/").alias("parent_path"),
+        F.element_at(F.split("path", "/"), -1).alias("name"),
         "pos",
         *cast,
     )
+
+
+def orphans(child: DataFrame, parent: DataFrame, id_col: str) -> DataFrame:
+    """Rows of a linked table whose parent has no row: none, unless the parents were filtered."""
+    return child.join(parent.select(id_col, F.col("node_id").alias("parent_id")), [id_col, "parent_id"], "left_anti")

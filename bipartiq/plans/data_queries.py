@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bipartiq.operators import drift, frequency, nested
+from bipartiq.session import materialize
 from bipartiq.tables import table
 
 #: The lists of result documents that become tables.
@@ -28,27 +30,65 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def p1_trials(spark: SparkSession, folder: str) -> DataFrame:
-    columns = {
+#: Of every schema path that becomes a table its query and its columns. Parents are rows of the nearest path above.
+TABLES: dict[str, tuple[str, dict[str, str]]] = {
+    LISTS[0]: ("p1_trials", {
         "ants": "int", "run": "int", "seed": "string", "wall_time_s": "double", "time_to_best_s": "double", "final_edges": "int", "theta_feasible": "boolean",
         "missing": "int", "nU": "int", "nV": "int", "U": "array<bigint>", "V": "array<bigint>", "iterations_budget": "int",
         "optimal_edges": "int", "matched_optimal": "boolean", "construction": "string",
-    }
-    return nested.linked_table(_nodes(spark, folder, LISTS[:2]), "doc_no", LISTS[0], columns)
+    }),
+    LISTS[1]: ("p1_epochs", {"t": "int", "edges": "int", "theta_feasible": "boolean", "elapsed_s": "double", "nU": "int", "nV": "int"}),
+    "results[]": ("p1_results", {"dataset": "string", "edge_count": "bigint", "status": "string", "verdict": "string"}),
+    "results[]/runs/*": ("p1_runs", {"method": "string", "label": "string", "status": "string", "final_edges": "int", "missing": "int", "wall_time_s": "double", "theta_feasible": "boolean"}),
+    LISTS[2]: ("p1_replicates", {"replicate": "int", "seed": "string", "method": "string", "final_edges": "int", "wall_time_s": "double", "theta_feasible": "boolean"}),
+    "results[]/challenger": ("p1_challengers", {"method": "string", "label": "string", "final_edges": "int", "wall_time_s": "double", "theta_feasible": "boolean"}),
+    "results[]/challenger/meta": ("p1_metas", {"ants": "int", "subspecies": "int", "evaporation": "double", "pheromone": "int"}),
+    LISTS[3]: ("p1_best_times", {"": "double"}),
+}
+
+
+def _linked(path: str) -> Callable[[SparkSession, str], DataFrame]:
+    name, columns = TABLES[path]
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        # Tables below a path are walked too, so that their values don't stand among its own.
+        wanted = [p for p in TABLES if p.startswith(path)]
+        return nested.linked_table(_nodes(spark, folder, wanted), "doc_no", path, columns, list(TABLES))
+
+    run.__name__ = name
+    return run
+
+
+P1_TABLES = {TABLES[path][0]: _linked(path) for path in TABLES}
+p1_trials = P1_TABLES["p1_trials"]
+
+
+def p1_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every object of every document, in the tables of the schema paths found."""
+    return nested.shred_all(table(spark, folder, "result_docs"), "doc_no", "body", ("runs",))
 
 
-def p1_epochs(spark: SparkSession, folder: str) -> DataFrame:
-    columns = {"t": "int", "edges": "int", "theta_feasible": "boolean", "elapsed_s": "double", "nU": "int", "nV": "int"}
-    return nested.linked_table(_nodes(spark, folder, [LISTS[1]]), "doc_no", LISTS[1], columns)
+def p1_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return nested.schema_paths(p1_nodes(spark, folder), "doc_no")
 
 
-def p1_replicates(spark: SparkSession, folder: str) -> DataFrame:
-    columns = {"replicate": "int", "seed": "string", "method": "string", "final_edges": "int", "wall_time_s": "double", "theta_feasible": "boolean"}
-    return nested.linked_table(_nodes(spark, folder, [LISTS[2]]), "doc_no", LISTS[2], columns)
+def p1_orphans(spark: SparkSession, folder: str) -> DataFrame:
+    """(child, parent, orphans) of each linked table, and of all nodes: how many rows have a parent without a row."""
+    nodes = materialize(_nodes(spark, folder, list(TABLES)), "nodes")
+    every = materialize(p1_nodes(spark, folder).select("doc_no", "node_id", "parent_id"), "nodes")
+    linked = {path: nested.linked_table(nodes, "doc_no", path, {}, list(TABLES)) for path in TABLES}
+    lost = [("nodes", "nodes", nested.orphans(every.filter("parent_id IS NOT NULL"), every, "doc_no"))]
+    for path, child in linked.items():
+        above, _ = nested.parent_table(path, list(TABLES))
+        parent = linked[above] if above else table(spark, folder, "result_docs").select("doc_no", F.lit("").alias("node_id"))
+        lost.append((path, above, nested.orphans(child, parent, "doc_no")))
+    rows = [df.agg(F.count(F.lit(1)).alias("orphans")).select(F.lit(c).alias("child"), F.lit(p).alias("parent"), "orphans") for c, p, df in lost]
+    return reduce(DataFrame.unionByName, rows)
 
 
-def p1_best_times(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.linked_table(_nodes(spark, folder, [LISTS[3]]), "doc_no", LISTS[3], {"": "double"})
+P1_ORPHANS = "SELECT * FROM (VALUES ('nodes', 'nodes', 0), {}) t(child, parent, orphans)".format(
+    ", ".join(f"('{p}', '{nested.parent_table(p, list(TABLES))[0]}', 0)" for p in TABLES)
+)
 
 
 def _valid_interactions(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,11 +164,12 @@ def p4_unified(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_trials, p1_epochs, p1_replicates, p1_best_times,
+        p1_found, *P1_TABLES.values(), p1_nodes, p1_paths, p1_orphans,
         p3_found, p3_degrees, p3_profile, p3_median_neighbour, p4_found, p4_scripts, p4_unified,
     )
 }
 SQL = {
+    "p1_orphans": P1_ORPHANS,
     "p3_found": f"SELECT dataset, side, vertex FROM ({_DEGREES}) WHERE neighbours >= 50",
     "p3_degrees": _DEGREES,
     "p3_profile": _PROFILE,

@@ -71,3 +71,39 @@ def test_trials_keep_every_field_beside_nan(spark, tmp_path):
     assert math.isnan(full.pop("time_to_best_s")) and json.loads(full.pop("construction")) == trial["construction"]
     assert {k: full[k] for k in full if k in trial} == {k: v for k, v in trial.items() if k not in ("time_to_best_s", "construction")}
     assert sparse["ants"] == 1 and sparse["U"] is None and sparse["construction"] is None
+
+
+def test_links_lead_to_rows_through_objects(spark, tmp_path):
+    body = {"results": [None, {"dataset": "d", "runs": {"aco": {"method": "aco", "replicates": [{"replicate": 1}, None]}, "x": 3},
+                               "challenger": {"method": "edges", "meta": {"ants": 5, "best_s": [0.5, None, 1.5]}}}]}
+    for _ in range(40):  # wrapped however often
+        body = json.dumps(body) if not isinstance(body, str) or len(body) < 5000 else body
+    docs = spark.createDataFrame([(7, None, None, None, body), (8, None, None, None, "cut {")], SCHEMA)
+    docs.write.parquet(f"{tmp_path}/result_docs.parquet")
+    from bipartiq.plans import data_queries as q
+
+    rows = {name: [r.asDict() for r in f(spark, str(tmp_path)).collect()] for name, f in q.P1_TABLES.items()}
+    result, run, rep = rows["p1_results"][0], rows["p1_runs"][0], rows["p1_replicates"][0]
+    assert (result["parent_id"], result["dataset"], run["name"], run["parent_path"]) == ("", "d", "aco", "results/1")
+    assert run["parent_id"] == result["node_id"] and rep["parent_id"] == run["node_id"] and rep["replicate"] == 1
+    challenger, meta = rows["p1_challengers"][0], rows["p1_metas"][0]
+    assert challenger["parent_id"] == result["node_id"] and meta["parent_id"] == challenger["node_id"] and meta["ants"] == 5
+    assert [(r["parent_id"], r["value"]) for r in rows["p1_best_times"]] == [(meta["node_id"], 0.5), (meta["node_id"], 1.5)]
+    assert all(r["orphans"] == 0 for r in q.p1_orphans(spark, str(tmp_path)).collect())
+    paths = {r["schema_path"]: (r["parent_path"], r["n_nodes"]) for r in q.p1_paths(spark, str(tmp_path)).collect()}
+    assert paths == {
+        "": (None, 1), "results[]": ("", 1), "results[]/runs": ("results[]", 1), "results[]/runs/*": ("results[]/runs", 1),
+        "results[]/runs/*/replicates[]": ("results[]/runs/*", 1), "results[]/challenger": ("results[]", 1), "results[]/challenger/meta": ("results[]/challenger", 1),
+    }
+
+
+def test_lists_of_lists_and_every_node(spark):
+    body = json.dumps({"m": [[{"a": 1}, [2, {"b": 3}]], 5], "k": {"0": {"c": 1}, "2": {"c": 2}}, "plain": [1, 2]})
+    docs = spark.createDataFrame([(1, body), (2, None), (3, "{}")], "doc_no bigint, body string")
+    nodes = [r.asDict() for r in nested.shred_all(docs, "doc_no", "body").collect()]
+    assert {n["schema_path"] for n in nodes} == {"", "m[]", "m[][]", "m[][][]", "k[]"}
+    ids = {(n["doc_no"], n["node_id"]) for n in nodes}
+    assert all((n["doc_no"], n["parent_id"]) in ids for n in nodes if n["parent_id"] is not None)
+    assert json.loads(next(n for n in nodes if n["doc_no"] == 1 and not n["schema_path"])["fields"]) == {"plain": [1, 2]}
+    assert {n["parent_path"] for n in nodes if n["schema_path"] == "m[][]"} == {"m[]"} and {n["pos"] for n in nodes if n["schema_path"] == "k[]"} == {0, 2}
+    assert nested.shred_all(docs.limit(0), "doc_no", "body").count() == 0
