@@ -141,6 +141,38 @@ def packed_value(matrix: np.ndarray, fixed: np.ndarray, k: int) -> tuple[int, in
     return int(n * len(cost) - cost.sum()), len(cost)
 
 
+def _filled(counts: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, columns) of the packing of n rows by how many columns (row of ``counts``) have each cost (its column)."""
+    left = np.full(counts.shape[1], k)
+    columns, edges = np.zeros(counts.shape[1], np.int64), np.zeros(counts.shape[1], np.int64)
+    for cost, found in enumerate(counts):
+        take = np.where(cost < n, found if not cost else np.minimum(found, left // cost), 0)
+        left, columns, edges = left - take * cost, columns + take, edges + take * (n - cost)
+    return edges, columns
+
+
+def joined_values(matrix: np.ndarray, cost: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, columns) of the packing of n fixed rows and each further row, from the columns' present costs.
+
+    A column keeps its cost if the further row has it, or costs one more: so how many
+    have each cost after any row joins comes from one product per cost, and no
+    packing is made again.
+    """
+    at = [cost == c for c in range(k + 1)]
+    hits = [matrix[:, a].sum(1) for a in at]
+    counts = np.array([hits[c] + ((int(at[c - 1].sum()) - hits[c - 1]) if c else 0) for c in range(k + 1)])
+    return _filled(counts, np.full(len(matrix), n + 1), k)
+
+
+def left_values(matrix: np.ndarray, us: np.ndarray, cost: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, columns) of the packing of the fixed rows us without each one of them."""
+    own = matrix[us]
+    at = [cost == c for c in range(k + 2)]
+    hits = [own[:, a].sum(1) for a in at]
+    counts = np.array([hits[c] + int(at[c + 1].sum()) - hits[c + 1] for c in range(k + 1)])
+    return _filled(counts, np.full(len(us), len(us) - 1), k)
+
+
 def fill(g: DenseGraph, fixed: np.ndarray, k: int, left: bool = True) -> Solution:
     """Pack against one fixed side, then add that side's vertices adjacent to the whole packing."""
     matrix = g.matrix if left else g.matrix.T

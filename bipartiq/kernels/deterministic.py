@@ -143,7 +143,7 @@ def tug(
         mates = mates[np.lexsort((mates, -j, mates != u))]
         for size in sorted({2, max(theta // 2, 1), theta}):
             found = _alternate(g, mates[:size], k, theta)
-            shakes = 0
+            best, shakes = better(g, best, found, theta) if found is not None else best, 0
             while found is not None and shakes < max_shakes:
                 best = better(g, best, found, theta)
                 cost = len(found.us) - g.matrix[np.ix_(found.us, found.vs)].sum(0)
@@ -230,6 +230,7 @@ def exact(
     floor: int = 0,
     deadline: float | None = None,
     num_solutions: int = 1,
+    mode: str = "pivot",
 ) -> tuple[list[Solution], bool]:
     """The feasible solutions of most edges, best first, and whether the search was complete.
 
@@ -237,8 +238,12 @@ def exact(
     one subproblem per root, the first vertex of the set in the order of degrees.
     A branch ends if its alive columns (cost within k) can't seat theta, if theta
     rows can't be reached, or if rows times affordable columns can't beat the best.
-    ``roots`` and ``floor`` let many tasks share the work, wave by wave.
+    ``roots`` and ``floor`` let many tasks share the work, wave by wave. ``mode``
+    "pivot" opens a branch per further row, "binary" one with and one without the
+    row of most alive columns; both find the same.
     """
+    if mode not in ("pivot", "binary"):
+        raise ValueError("mode is 'pivot' or 'binary'")
     if theta <= k:
         raise ValueError("the exact search needs theta > k")
     order = np.lexsort((np.arange(g.n_u), -g.matrix.sum(1)))
@@ -283,6 +288,12 @@ def exact(
             base = int((len(rows) - cost[alive]).sum())
             if base + int(spare.sum()) <= least():
                 continue
+            if mode == "binary":
+                x = int(pool[np.argmax(matrix[np.ix_(pool, alive)].sum(1))])
+                rest = pool[pool != x]
+                stack.append((rows, rest, cost))
+                stack.append((tuple(sorted((*rows, x))), rest[close[x, rest]], cost + 1 - matrix[x]))
+                continue
             for i in range(len(pool)):
                 x = int(pool[i])
                 rest = pool[i + 1 :]

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from bipartiq.kernels.dense import (
-    DenseGraph, Solution, better, compatible, extended, fill, fitness, packed_value, rank, repaired,
+    DenseGraph, Solution, better, compatible, extended, fill, fitness, joined_values, left_values, packed_value, peeled, rank, repaired,
 )
 from bipartiq.kernels.deterministic import similarity_scores, theta_heuristic
 
@@ -114,13 +114,19 @@ def ant_colony(
     seeds: list[Solution] | None = None,
     subspecies: int = 1,
     scoring: Callable[[DenseGraph, Solution], float] | None = None,
+    prefer_smaller_side: bool = False,
+    aco_tabu: bool = False,
+    tt: int = 2,
+    tabu_patience: int = 3,
     trace: Trace | None = None,
     on_epoch: Callable[[int, Solution], bool] | None = None,
 ) -> Solution:
     """Vertices (or edges) carry trails; ants add vertices by trail and promise within k.
 
     A vertex's promise is its neighbours inside plus its degree, the less the larger
-    the solution is already; vertices of a side below theta count twice. ``evaporation``
+    the solution is already; vertices of a side below theta count twice, and with
+    ``prefer_smaller_side`` those of the smaller side. ``aco_tabu`` improves each ant's
+    solution by a short tabu search. ``evaporation``
     is the share of a trail that stays. Species deposit on trails of their own and a
     quarter as much on the shared one, and avoid the trails of others. ``scoring``
     replaces the fitness of infeasible and feasible solutions alike.
@@ -180,6 +186,8 @@ def ant_colony(
                 fade = 1 / (1 + np.exp(min(n_us + n_vs, 50)))
                 pu = (walk.du[cu] + deg_u[cu] * fade) ** eta_exp * (2 if n_us < theta else 1)
                 pv = (walk.dv[cv] + deg_v[cv] * fade) ** eta_exp * (2 if n_vs < theta else 1)
+                if prefer_smaller_side and n_us != n_vs:
+                    pu, pv = (pu * 2, pv) if n_us < n_vs else (pu, pv * 2)
                 if pheromone and edge_trails:
                     t = trail(species, 0)
                     tu = t[np.ix_(cu, np.flatnonzero(walk.vs))] * g.matrix[np.ix_(cu, np.flatnonzero(walk.vs))]
@@ -197,6 +205,8 @@ def ant_colony(
             if greedy_fill == "end":
                 s = better(g, s, repaired(g, s, k, theta), theta)
             s = better(g, s, top, theta)
+            if aco_tabu and len(s.us):
+                s = better(g, s, improved(g, k, theta, s.us, tt, tabu_patience, rng), theta)
             results.append((value(s), species, s))
             if best_value is None or results[-1][0] > best_value:
                 best_value, best = results[-1][0], s
@@ -232,17 +242,29 @@ def trail_statistics(trails: np.ndarray, members: np.ndarray) -> dict:
 
 
 def split_colony(
-    g: DenseGraph, k: int, theta: int, seed: int = 0, ants: int = 10, iterations: int = 5, n_seeds: int = 50, one_colony: bool = True, **options
-) -> Solution:
-    """Colonies around roots of maximal neighbourhoods with the most similar edges, within three steps of each."""
+    g: DenseGraph, k: int, theta: int, seed: int = 0, ants: int = 10, iterations: int = 5, n_seeds: int = 50, one_colony: bool = True,
+    prune_by_bound: bool = True, reduce_seeds: bool = True, local_reduction: bool = True, forward_only: bool = False, **options,
+) -> Solution:
+    """Colonies around roots with the most similar edges, within three steps of each.
+
+    ``reduce_seeds`` keeps roots of maximal neighbourhoods; ``one_colony`` starts one
+    colony's ants from all roots. Otherwise each root has its own colony:
+    ``forward_only`` on the vertices that come no earlier than the root in the order
+    of degrees, ``local_reduction`` on the core of its surroundings, and
+    ``prune_by_bound`` passes over roots whose surroundings hold no more edges than
+    the best found.
+    """
     if not g.n_u or not g.matrix.any():
         return Solution.empty()
+    options.setdefault("greedy_fill", "end")
     common, deg = g.codegree(), g.matrix.sum(1)
-    held = np.zeros(g.n_u, bool)
-    for u in range(g.n_u):
+    held = deg == 0
+    for u in range(g.n_u) if reduce_seeds else ():
         others = np.flatnonzero((common[u] == deg[u]) & ((deg > deg[u]) | ((deg == deg[u]) & (np.arange(g.n_u) < u))))
-        held[u] = deg[u] == 0 or len(others) > 0
+        held[u] |= len(others) > 0
     roots = np.flatnonzero(~held)
+    place = np.empty(g.n_u, np.int64)
+    place[np.lexsort((np.arange(g.n_u), -deg))] = np.arange(g.n_u)
     score = similarity_scores(g, theta).max(1)
     roots = roots[np.lexsort((roots, -score[roots]))]
     roots = roots[:n_seeds] if n_seeds > 0 else roots
@@ -250,11 +272,20 @@ def split_colony(
         return ant_colony(g, k, theta, seed, ants, iterations, seeds=[Solution.of([r], []) for r in roots], **options)
     best = Solution.empty()
     for n, r in enumerate(roots):
-        keep_u = np.flatnonzero(common[r] > 0)
+        near = (common[r] > 0) & ((place >= place[r]) | (not forward_only))
+        keep_u = np.flatnonzero(near)
         keep_v = np.flatnonzero(g.matrix[keep_u].any(0))
         part = g.restricted(keep_u, keep_v)
-        s = ant_colony(part, k, theta, seed + n, ants, iterations, seeds=[Solution.of([int(np.searchsorted(keep_u, r))], [])], **options)
-        best = better(g, best, Solution.of(keep_u[s.us], keep_v[s.vs]), theta)
+        if local_reduction:
+            part = peeled(part, max(theta - k, 0))
+        if prune_by_bound and best.feasible(theta) and int(part.matrix.sum()) <= best.edges(g):
+            continue
+        start = np.flatnonzero(part.u_ids == g.u_ids[r])
+        if not len(start):
+            continue
+        s = ant_colony(part, k, theta, seed + n, ants, iterations, seeds=[Solution.of(start, [])], **options)
+        lifted = Solution.of(np.searchsorted(g.u_ids, part.u_ids[s.us]), np.searchsorted(g.v_ids, part.v_ids[s.vs]))
+        best = better(g, best, lifted, theta)
     return best
 
 
@@ -292,10 +323,13 @@ def one_side_colony(g: DenseGraph, k: int, theta: int, seed: int = 0, ants: int
 
 def oracle_colony(
     g: DenseGraph, k: int, theta: int, seed: int = 0, ants: int = 20, iterations: int = 5, pool: int = 64, discrepancy: int = 0,
-    branch: int = 4, max_nodes: int = 2000, evaporation: float = 0.95,
+    branch: int = 4, max_nodes: int = 2000, evaporation: float = 0.95, pheromone: bool = True, decompose: bool = False, seed_size: int = 2, n_seeds: int = 20,
 ) -> Solution:
     """Ants build left sets alone, each step scored by the exact packing of the other side.
 
+    With ``decompose`` they start from ``n_seeds`` sets of ``seed_size`` left vertices
+    that share most neighbours, each grown from one of the vertices of largest degree.
+
     With ``discrepancy`` a limited-discrepancy search refines the best left set:
     at most that many steps depart from the best of ``branch`` options.
     """
@@ -312,15 +346,22 @@ def oracle_colony(
         reach[us] = -1
         near = np.argsort(-reach, kind="stable")[:pool]
         near = near[reach[near] > 0]
-        return near, np.array([packed_value(g.matrix, np.array([*us, int(x)]), k)[0] for x in near], float)
+        return near, joined_values(g.matrix[near], cost, len(us), k)[0].astype(float)
+
+    starts: list[list[int]] = []
+    if decompose:
+        common = g.codegree()
+        for u in np.lexsort((np.arange(g.n_u), -deg))[: n_seeds or None]:
+            mates = np.lexsort((np.arange(g.n_u), -common[u], np.arange(g.n_u) != u))
+            starts.append([int(x) for x in mates[:seed_size]])
 
     def consider(us: list[int]) -> None:
         nonlocal best
         best = better(g, best, fill(g, np.array(us), k), theta)
 
     for _ in range(iterations):
-        for _ in range(ants):
-            us = [linear_pick(trail * deg, rng)]
+        for ant in range(ants):
+            us = list(starts[ant % len(starts)]) if starts else [linear_pick(trail * deg, rng)]
             before = 0.0
             while True:
                 consider(us)
@@ -331,8 +372,9 @@ def oracle_colony(
                 us.append(int(near[linear_pick(trail[near] * gains**2, rng)]))
                 if len(us) > 4 * theta and gains.max() <= before / 2:
                     break
-        trail *= evaporation
-        trail[best.us] += 1.0
+        if pheromone:
+            trail *= evaporation
+            trail[best.us] += 1.0
     if discrepancy:
         stack, nodes = [([int(np.argmax(deg))], discrepancy)], 0
         while stack and nodes < max_nodes:
@@ -356,22 +398,23 @@ def clique_colony(g: DenseGraph, k: int, theta: int, seed: int = 0, ants: int =
     adjacent = compatible(g, k, theta) if theta > k else ~np.eye(g.n_u, dtype=bool)
     trail = np.ones((g.n_u, g.n_u))
     best = Solution.empty()
-    deg = g.matrix.sum(1).astype(float)
+    weight = g.matrix.sum(1) * (1.0 + adjacent.sum(1))
     for _ in range(iterations):
         for _ in range(ants):
-            us = [linear_pick(deg * (1 + adjacent.sum(1)), rng)]
+            us = [linear_pick(weight, rng)]
             now = packed_value(g.matrix, np.array(us), k)[0]
-            open_ = adjacent[us[0]].copy()
+            open_, cost = adjacent[us[0]].copy(), 1 - g.matrix[us[0]].astype(np.int64)
             while open_.any():
                 near = np.flatnonzero(open_)
-                gains = np.array([packed_value(g.matrix, np.array([*us, int(x)]), k)[0] for x in near], float)
+                gains = joined_values(g.matrix[near], cost, len(us), k)[0].astype(float)
                 up = (gains > now) | (len(us) < theta)
                 if not up.any():
                     break
                 near, gains = near[up], gains[up]
-                x = int(near[linear_pick(trail[us[-1], near] * np.maximum(gains, 1e-9) ** 2, rng)])
+                i = linear_pick(trail[us[-1], near] * np.maximum(gains, 1e-9) ** 2, rng)
+                x, now = int(near[i]), gains[i]
                 us.append(x)
-                now = packed_value(g.matrix, np.array(us), k)[0]
+                cost += 1 - g.matrix[x]
                 open_ &= adjacent[x]
             best = better(g, best, fill(g, np.array(us), k), theta)
         trail *= evaporation
@@ -430,86 +473,152 @@ def variable_neighbourhood(g: DenseGraph, k: int, theta: int, seed: int = 0, kma
     return best
 
 
+def _backtrack(n: int, p: float, rng: np.random.Generator) -> int:
+    """How many of n vertices leave: x with a chance in proportion to exp(-p x), from 1 to n."""
+    chances = np.exp(-p * np.arange(n))
+    return int(rng.choice(n, p=chances / chances.sum())) + 1
+
+
 def retry(g: DenseGraph, k: int, theta: int, seed: int = 0, beta: float = 0.04, p: float = 1.0, max_steps: int = 10_000) -> Solution:
-    """Grow by chance along neighbours, and at dead ends step back by a truncated geometric number of vertices."""
+    """Walk along neighbours of the last vertex by promise; at dead ends, and by a chance of beta, step back.
+
+    How many vertices leave is truncated geometric with rate p, from either end of
+    the path. Every vertex added or removed is a step. Each solution on the way that
+    improves on the best is packed on the other side before it counts.
+    """
+    if not 0 <= beta < 1 or p <= 0:
+        raise ValueError("beta lies in [0, 1) and p above 0")
     rng = np.random.default_rng(seed)
     if not g.n_u or not g.matrix.any():
         return Solution.empty()
     walk, path = _Walk(g, k), []
     deg_u, deg_v = g.matrix.sum(1), g.matrix.sum(0)
-    best = Solution.empty()
-    for _ in range(min(max_steps, 200 * (g.n_u + g.n_v))):
-        cu, cv = walk.candidates()
-        if path:
-            cu, cv = cu[walk.du[cu] > 0] if walk.vs.any() else cu, cv[walk.dv[cv] > 0] if walk.us.any() else cv
-        if len(cu) + len(cv) and rng.random() < p:
-            w = np.concatenate([walk.du[cu] + 1e-3 * deg_u[cu], walk.dv[cv] + 1e-3 * deg_v[cv]])
-            i = linear_pick(w, rng)
-            step = (True, int(cu[i])) if i < len(cu) else (False, int(cv[i - len(cu)]))
-            walk.add(*step)
-            path.append(step)
+    best, steps, top = Solution.empty(), 0, 0
+    while steps < max_steps:
+        if not path:
+            i = linear_pick(np.concatenate([deg_u, deg_v]).astype(float), rng)
+            path.append((True, i) if i < g.n_u else (False, i - g.n_u))
+            walk.add(*path[-1])
+            steps += 1
             continue
-        best = better(g, best, walk.solution(), theta)
-        back = min(int(rng.geometric(beta)), len(path))
-        for _ in range(max(back, 1)):
-            if path:
-                walk.drop(*path.pop(int(rng.integers(len(path)))))
-    return better(g, best, walk.solution(), theta)
+        is_u, last = path[-1]
+        n_us, n_vs = int(walk.us.sum()), int(walk.vs.sum())
+        fade = 1 / (1 + np.exp(min(len(path), 50)))
+        if is_u:
+            near = np.flatnonzero(g.matrix[last] & ~walk.vs & (n_us - walk.dv <= walk.left))
+            promise = walk.dv[near] + deg_v[near] * fade
+        else:
+            near = np.flatnonzero(g.matrix[:, last] & ~walk.us & (n_vs - walk.du <= walk.left))
+            promise = walk.du[near] + deg_u[near] * fade
+        if not len(near) or rng.random() < beta:
+            ahead = rng.random() < 0.5
+            for _ in range(_backtrack(len(path), p, rng)):
+                if steps < max_steps:
+                    walk.drop(*path.pop(0 if ahead else -1))
+                    steps += 1
+            continue
+        path.append((not is_u, int(near[linear_pick(promise.astype(float) ** 2, rng)])))
+        walk.add(*path[-1])
+        steps += 1
+        size = min(int(walk.us.sum()), int(walk.vs.sum()))
+        if size >= top or size >= theta:
+            top = max(top, size)
+            best = better(g, best, repaired(g, walk.solution(), k, theta), theta)
+    return best
 
 
-def tabu(g: DenseGraph, k: int, theta: int, seed: int = 0, N: int = 10, tt: int = 3, tabu_patience: int = 10) -> Solution:
-    """Repair and improve several sampled starts by swaps, with vertices that left barred for some moves."""
+def improved(g: DenseGraph, k: int, theta: int, us: np.ndarray, tt: int, patience: int, rng: np.random.Generator) -> Solution:
+    """Tabu search over left sets: the best single addition or removal, scored by the exact packing of the other side.
+
+    A vertex that moved is barred for ``tt`` moves, unless the move beats the best.
+    Ends after ``patience`` moves without a better solution.
+    """
+    us = np.asarray(us, np.int64)
+    best, top = fill(g, us, k), -1.0
+    barred = np.zeros(g.n_u, np.int64)
+    move = idle = 0
+
+    def score(n: np.ndarray, edges: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        least = np.minimum(n, columns).astype(float)
+        return np.where((n >= theta) & (columns >= theta), 1e15 + edges, 1e6 * least**2 + edges)
+
+    while idle < patience and len(us):
+        move += 1
+        cost = len(us) - g.matrix[us].sum(0)
+        value = score(np.full(g.n_u, len(us) + 1), *joined_values(g.matrix, cost, len(us), k))
+        if len(us) > 1:
+            value[us] = score(np.full(len(us), len(us) - 1), *left_values(g.matrix, us, cost, k))
+        else:
+            value[us] = -1.0
+        value = np.where((barred >= move) & (value <= top), -1.0, value)
+        if value.max() < 0:
+            break
+        x = int(np.flatnonzero(value == value.max())[0])
+        us = us[us != x] if x in us else np.append(us, x)
+        barred[x] = move + tt
+        if value[x] > top:
+            top, idle = float(value[x]), 0
+            best = better(g, best, fill(g, np.sort(us), k), theta)
+        else:
+            idle += 1
+    return best
+
+
+def tabu(g: DenseGraph, k: int, theta: int, seed: int = 0, N: int = 10, tt: int = 3, tabu_patience: int = 10, use_heuristic: bool = True) -> Solution:
+    """Tabu searches from N - 1 vertices sampled by degree and, with ``use_heuristic``, from the theta heuristic."""
     rng = np.random.default_rng(seed)
     if not g.n_u or not g.matrix.any():
         return Solution.empty()
-    best = Solution.empty()
     deg = g.matrix.sum(1).astype(float)
-    for _ in range(N):
-        start = softmax_pick(deg / max(deg.max(), 1), rng, max(theta, 1))
-        now = extended(g, fill(g, np.sort(start), k), k)
-        best = better(g, best, now, theta)
-        barred: dict[tuple[bool, int], int] = {}
-        idle, move = 0, 0
-        while idle < tabu_patience:
-            move += 1
-            members = [(True, int(u)) for u in now.us] + [(False, int(v)) for v in now.vs]
-            if not members:
-                break
-            loss = [int(len(now.vs) - g.matrix[i, now.vs].sum()) if is_u else int(len(now.us) - g.matrix[now.us, i].sum()) for is_u, i in members]
-            top = max(loss)
-            out = members[int(rng.choice([j for j, x in enumerate(loss) if x == top]))]
-            barred[out] = move + tt
-            walk = _Walk(g, k)
-            walk.load(Solution.of([i for s, i in members if s and (s, i) != out], [i for s, i in members if not s and (s, i) != out]))
-            while True:
-                cu, cv = walk.candidates()
-                options = [(int(walk.du[i]), True, int(i)) for i in cu if barred.get((True, int(i)), 0) <= move and walk.du[i] > 0]
-                options += [(int(walk.dv[i]), False, int(i)) for i in cv if barred.get((False, int(i)), 0) <= move and walk.dv[i] > 0]
-                if not options:
-                    break
-                _, is_u, i = max(options, key=lambda o: (o[0], o[1], -o[2]))
-                walk.add(is_u, i)
-            now = walk.solution()
-            idle = 0 if rank(g, now, theta) > rank(g, best, theta) else idle + 1
-            best = better(g, best, now, theta)
+    picks = softmax_pick(np.log(np.maximum(deg, 1e-9)), rng, min(N - 1 if use_heuristic else N, g.n_u))
+    starts = [np.array([u]) for u in picks]
+    if use_heuristic:
+        starts.append(theta_heuristic(g, k, theta).us)
+    best = Solution.empty()
+    for start in starts:
+        best = better(g, best, improved(g, k, theta, start, tt, tabu_patience, rng), theta)
     return best
 
 
-def genetic(g: DenseGraph, k: int, theta: int, seed: int = 0, N: int = 10, generations: int = 100, k_mutate: float = 0.02) -> Solution:
-    """Left sets cross and mutate; each is repaired by packing the other side, or by keeping its right side."""
+def genetic(
+    g: DenseGraph, k: int, theta: int, seed: int = 0, N: int = 10, O: int = 2, k_mutate: float = 0.02, generations: int = 500,
+    repair: str = "mixed", H: int = 2, use_heuristic: bool = True, tt: int = 2, tabu_patience: int = 3,
+) -> Solution:
+    """Left sets cross and mutate; each child is repaired within k.
+
+    ``repair`` "greedy" packs the other side and extends, "tabu" searches from the
+    child's left set, "mixed" takes either by chance. Of each new generation O members
+    lose H vertices, those that lack most, and are repaired.
+    """
+    if repair not in ("greedy", "tabu", "mixed"):
+        raise ValueError("repair is 'greedy', 'tabu' or 'mixed'")
     rng = np.random.default_rng(seed)
     if not g.n_u or not g.matrix.any():
         return Solution.empty()
+
+    def mended(s: Solution) -> Solution:
+        made = extended(g, repaired(g, s, k, theta), k)
+        if repair == "tabu" or (repair == "mixed" and rng.random() < 0.1):
+            made = better(g, made, improved(g, k, theta, made.us, tt, tabu_patience, rng), theta)
+        return made
+
     deg = g.matrix.sum(1).astype(float)
-    people = [fill(g, np.sort(softmax_pick(deg / max(deg.max(), 1), rng, theta)), k) for _ in range(N - 1)]
-    people.append(repaired(g, theta_heuristic(g, k, theta), k, theta))
+    people = [fill(g, np.sort(softmax_pick(deg / max(deg.max(), 1), rng, theta)), k) for _ in range(N - 1 if use_heuristic else N)]
+    if use_heuristic:
+        people.append(repaired(g, theta_heuristic(g, k, theta), k, theta))
     for _ in range(generations):
         a, b = (people[i] for i in softmax_pick(-np.arange(len(people), dtype=float) / 3, rng, 2)) if len(people) > 1 else (people[0],) * 2
         us, vs = np.union1d(a.us, b.us), np.union1d(a.vs, b.vs)
         us, vs = us[rng.random(len(us)) < 0.7], vs[rng.random(len(vs)) < 0.7]
         us = np.union1d(us, np.flatnonzero(rng.random(g.n_u) < k_mutate / max(1, g.n_u / 50)))
-        child = extended(g, repaired(g, Solution.of(us, vs), k, theta), k)
-        people = sorted([*people, child], key=lambda s: rank(g, s, theta), reverse=True)
+        children = [mended(Solution.of(us, vs))]
+        for i in softmax_pick(-np.arange(len(people), dtype=float), rng, min(O, len(people))):
+            s = people[i]
+            lacks = np.concatenate([len(s.vs) - g.matrix[np.ix_(s.us, s.vs)].sum(1), len(s.us) - g.matrix[np.ix_(s.us, s.vs)].sum(0)])
+            gone = set(softmax_pick(lacks.astype(float), rng, min(H, len(lacks))).tolist())
+            kept_u = [u for n, u in enumerate(s.us) if n not in gone]
+            children.append(mended(Solution.of(kept_u, [v for n, v in enumerate(s.vs) if len(s.us) + n not in gone])))
+        people = sorted([*people, *children], key=lambda s: rank(g, s, theta), reverse=True)
         seen: list[Solution] = []
         for s in people:
             if not any(np.array_equal(s.us, t.us) and np.array_equal(s.vs, t.vs) for t in seen):

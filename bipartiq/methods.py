@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,9 +15,9 @@ from pyspark.sql import DataFrame
 
 from bipartiq.kernels import deterministic as det
 from bipartiq.kernels import stochastic as sto
-from bipartiq.kernels.dense import DenseGraph, Solution, better, repaired
+from bipartiq.kernels.dense import MAX_CELLS, DenseGraph, Solution, better, repaired
 from bipartiq.operators.reduction import reduce_graph
-from bipartiq.session import ship
+from bipartiq.session import materialize, ship
 
 Solver = Callable[..., Solution]
 
@@ -52,17 +54,19 @@ class Method:
     def solve(self, g: DenseGraph, k: int, theta: int, seed: int = 0) -> MethodResult:
         began = time.monotonic()
         trace = sto.Trace()
-        extra = {"seed": seed} if "seed" in self.solver.__code__.co_varnames[: self.solver.__code__.co_argcount] else {}
-        if "trace" in self.solver.__code__.co_varnames[: self.solver.__code__.co_argcount]:
+        takes = inspect.signature(self.solver).parameters
+        extra = {"seed": seed} if "seed" in takes else {}
+        if "trace" in takes:
             extra["trace"] = trace
         s = self.solver(g, k, theta, **{**extra, **self.params})
         took = time.monotonic() - began
         edges = s.edges(g)
         first = next((e["elapsed_s"] for e in trace.epochs if e["edges"] == edges), took)
         missing = len(s.us) * len(s.vs) - edges
+        pool = [(g.u_ids[x.us].tolist(), g.v_ids[x.vs].tolist(), x.edges(g)) for x in getattr(s, "pool", [])]
         return MethodResult(
             self.label or self.name, g.u_ids[s.us].tolist(), g.v_ids[s.vs].tolist(), edges, missing,
-            s.feasible(theta), missing <= k, took, first, {"params": self.params, "epoch_trace": trace.epochs},
+            s.feasible(theta), missing <= k, took, first, {"params": self.params, "epoch_trace": trace.epochs, "solutions": pool},
         )
 
 
@@ -88,7 +92,8 @@ def make_method(name: str, label: str = "", **params) -> Method:
     if _plain(name) not in _REGISTRY:
         raise ValueError(f"unknown method {name!r}; known: {', '.join(list_methods())}")
     full, solver, defaults = _REGISTRY[_plain(name)]
-    return Method(full, solver, {**defaults, **{_ALIASES.get(k, k): v for k, v in params.items()}}, label)
+    given = {_ALIASES.get(k, k): v for k, v in params.items() if k not in _NO_EFFECT}
+    return Method(full, solver, {**defaults, **given}, label)
 
 
 #: Spellings of parameters that older settings files use.
@@ -103,10 +108,46 @@ def method_from_dict(spec: dict) -> Method:
     return make_method(name, label, **spec.pop("params", {}), **spec)
 
 
-def _exact(g: DenseGraph, k: int, theta: int, use_heuristic: bool = True, deadline_s: float | None = None) -> Solution:
-    seed = repaired(g, det.theta_heuristic(g, k, theta), k, theta) if use_heuristic and g.n_u and g.n_v else None
-    found, _ = det.exact(g, k, theta, seed, deadline=None if deadline_s is None else time.monotonic() + deadline_s)
-    return found[0] if found else Solution.empty()
+#: Parameters that steer threads and printing elsewhere: runs are tasks here, so they are taken and have no effect.
+_NO_EFFECT = ("parallelize", "force_gc", "verbose")
+
+
+def _colony(solver: Solver) -> Solver:
+    """An ant colony under the parameter names of settings files."""
+
+    def run(
+        g: DenseGraph, k: int, theta: int, seed: int = 0, trace=None, pheromone: int = 1, elite_seed=True, elite_seed_ants: int = 3, elite_seed_remove: int = 2,
+        best_only_pheromone: bool = False, greedy_fill="off", **options,
+    ) -> Solution:
+        if best_only_pheromone and options.get("elite_pheromone"):
+            raise ValueError("best_only_pheromone and elite_pheromone exclude each other")
+        fills = {False: "off", None: "off", True: "end"}
+        elites = elite_seed if isinstance(elite_seed, tuple) else (elite_seed_ants, elite_seed_remove) if elite_seed else None
+        return solver(
+            g, k, theta, seed, trace=trace, pheromone=pheromone > 0, deposit=float(pheromone) or 1.0, elite_seed=elites,
+            best_only=options.pop("best_only", best_only_pheromone), greedy_fill=fills.get(greedy_fill, greedy_fill) if not isinstance(greedy_fill, str) else greedy_fill.lower(),
+            **options,
+        )
+
+    return run
+
+
+def _exact(
+    g: DenseGraph, k: int, theta: int, mode: str = "pivot", use_heuristic: bool = True, num_solutions: int = 1, initial_seed=None, deadline_s: float | None = None
+) -> Solution:
+    """The exact search; ``initial_seed`` (left ids, right ids) is its first bound besides the heuristic's solution."""
+    seed = Solution.empty()
+    if use_heuristic and g.n_u and g.n_v:
+        seed = repaired(g, det.theta_heuristic(g, k, theta), k, theta)
+    if initial_seed:
+        us, vs = initial_seed
+        own = Solution.of(np.flatnonzero(np.isin(g.u_ids, us)), np.flatnonzero(np.isin(g.v_ids, vs)))
+        seed = better(g, seed, repaired(g, own, k, theta), theta)
+    limit = None if deadline_s is None else time.monotonic() + deadline_s
+    found, _ = det.exact(g, k, theta, seed, deadline=limit, num_solutions=num_solutions, mode=mode)
+    best = found[0] if found else Solution.empty()
+    best.pool = found
+    return best
 
 
 def _best_side(solver: Solver) -> Solver:
@@ -129,18 +170,20 @@ def _super(g: DenseGraph, k: int, theta: int, seed: int = 0, patience: int = 2,
 
 
 def _edges(g: DenseGraph, k: int, theta: int, seed: int = 0, trace=None, **options) -> Solution:
-    return sto.ant_colony(g, k, theta, seed, trace=trace, edge_trails=True, eta_exp=1.0, **options)
+    """Trails on edges; the other side is packed at the end of each walk, and the epoch's best lay trails."""
+    options = {"greedy_fill": "end", "elite_pheromone": True} | {k: v for k, v in options.items() if (k, v) != ("greedy_fill", "off")}
+    return sto.ant_colony(g, k, theta, seed, trace=trace, edge_trails=True, **options)
 
 
 register_method("heuristic", det.theta_heuristic, return_invalid=True, incremental=False)
 register_method("pivot", _exact, ("opponent", "branch"))
 register_method("double-greedy", det.double_greedy)
-register_method("tug", det.tug, ("tow", "alternation"), seed_source="sc", num_seeds=10, max_shakes=3, seed=None, peel=True)
+register_method("tug", det.tug, ("tow", "alternation"), seed_source="sc", num_seeds=10, max_shakes=3, peel=True)
 register_method("clique-order", _best_side(det.clique_order), side="both")
 register_method("clique-order-edge", _best_side(det.clique_order_edge), side="smaller")
 register_method("super-heuristic", _super)
-register_method("aco", sto.ant_colony, ants=100, iterations=5)
-register_method("edges", _edges, ants=100, iterations=5)
+register_method("aco", _colony(sto.ant_colony), ants=100, iterations=5)
+register_method("edges", _colony(_edges), ants=100, iterations=5)
 register_method("split_aco", sto.split_colony, ants=10, iterations=5, n_seeds=50)
 register_method("one_side_aco", sto.one_side_colony, ants=100, iterations=5)
 register_method("oracle_aco", sto.oracle_colony, ants=20, iterations=5)
@@ -149,7 +192,7 @@ register_method("diffusion", sto.diffusion_colony, diffusion_iters=20)
 register_method("vns", sto.variable_neighbourhood, kmax=10)
 register_method("retry", sto.retry, beta=0.04, p=1.0, max_steps=10_000)
 register_method("tabu", sto.tabu, N=10, tt=3, tabu_patience=10)
-register_method("ga", sto.genetic, N=10, generations=500)
+register_method("ga", sto.genetic, N=10, O=2, k_mutate=0.02, generations=500, repair="mixed", H=2, use_heuristic=True)
 
 
 RESULT = (
@@ -160,20 +203,36 @@ RESULT = (
 
 
 def run_grid(
-    graphs: dict[str, DataFrame], specs: list[dict], k: int, theta: int, seeds: list[int], reduction: str = "simple", done: DataFrame | None = None
-) -> DataFrame:
+    graphs: dict[str, DataFrame], specs: list[dict], k: int, theta: int, seeds: list[int], reduction: str = "simple", done: DataFrame | None = None,
+    max_cells: int = MAX_CELLS,
+) -> DataFrame:
     """One row per graph, method and seed: every run is a task of its own.
 
-    Each graph is reduced once, relationally, collected below a checked size, and
-    broadcast; a run that raises gives a row with its error as status. Rows of
-    ``done`` (dataset, method, seed) aren't run again.
+    Each graph is reduced once, relationally, and collected below a checked size.
+    Graphs are broadcast together while their matrices sum up to no more than one
+    graph may have; beyond that they run in several waves, each with a broadcast of
+    its own that goes with it. A run that raises gives a row with its error as
+    status. Rows of ``done`` (dataset, method, seed) aren't run again.
     """
     if not graphs:
         raise ValueError("no graphs")
-    spark = next(iter(graphs.values())).sparkSession
-    ship(spark)
-    small = {name: DenseGraph.collect(reduce_graph(edges, k, theta, reduction)) for name, edges in graphs.items()}
+    ship(next(iter(graphs.values())).sparkSession)
+    wave: dict[str, DenseGraph] = {}
+    waves: list[DataFrame] = []
+    for name, edges in graphs.items():
+        g = DenseGraph.collect(reduce_graph(edges, k, theta, reduction), max_cells)
+        if wave and sum(x.matrix.size for x in wave.values()) + g.matrix.size > max_cells:
+            waves.append(_run_wave(edges.sparkSession, wave, specs, k, theta, seeds, done, True))
+            wave = {}
+        wave[name] = g
+    waves.append(_run_wave(edges.sparkSession, wave, specs, k, theta, seeds, done, bool(waves)))
+    return reduce(DataFrame.unionByName, waves)
+
+
+def _run_wave(spark, small: dict[str, DenseGraph], specs: list[dict], k: int, theta: int, seeds: list[int], done: DataFrame | None, now: bool) -> DataFrame:
+    """The runs over graphs that fit one broadcast; with ``now`` they run at once and the broadcast goes."""
     shared = spark.sparkContext.broadcast({name: (g.matrix, g.u_ids, g.v_ids) for name, g in small.items()})
+    graphs = list(small)
     labels = [s.get("label") or s.get("id") or s["method"] for s in specs]
     rows = [
         (d, label, json.dumps(spec), int(seed), i)
@@ -198,7 +257,11 @@ def run_grid(
             yield pd.DataFrame(out, columns=columns)
 
     tasks = max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism))
-    return grid.repartition(tasks, "dataset", "method", "seed").mapInPandas(run, RESULT)
+    found = grid.repartition(tasks, "dataset", "method", "seed").mapInPandas(run, RESULT)
+    if now:
+        found = materialize(found, "runs")
+        shared.unpersist()
+    return found
 
 
 def exact_parallel(g: DenseGraph, k: int, theta: int, spark, incumbent: Solution | None = None, wave: int | None = None) -> Solution:

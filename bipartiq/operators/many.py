@@ -2,7 +2,9 @@
 
 Reductions group by dataset beside the vertex, so a run over hundreds of graphs
 takes as many jobs as one over a single graph. Graphs that come out small enough
-are solved one task each; larger ones give a row that says so.
+are solved one task each. Larger ones go on together, as one graph without common
+vertices: through the common-neighbour reduction to its fixpoint, and what is still
+too large for a task through alternating best responses, which are joins.
 """
 
 from __future__ import annotations
@@ -13,7 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bipartiq.graph import transpose
 from bipartiq.kernels.dense import MAX_CELLS, DenseGraph, Solution
+from bipartiq.operators import packing, reduction, relational
 from bipartiq.session import materialize, ship
 
 #: Edges of the largest graph that one task solves.
@@ -56,12 +60,9 @@ def peel(edges: DataFrame, least: int, rounds: int | None = None) -> DataFrame:
     return now
 
 
-def solve_each(edges: DataFrame, k: int, theta: int, solver: Callable[..., Solution], limit: int = SOLVE_LIMIT) -> DataFrame:
-    """One row per graph with what a solver finds in it; graphs beyond the limit have the status 'too large'."""
+def solve_each(edges: DataFrame, k: int, theta: int, solver: Callable[..., Solution]) -> DataFrame:
+    """One row per graph with what a solver finds in it; each graph is a group of its own, so it must fit a task."""
     ship(edges.sparkSession)
-    count = sizes(edges).select("dataset", F.col("edges").alias("n"), (F.col("n_u") * F.col("n_v")).alias("cells"))
-    fits = (F.col("n") <= limit) & (F.col("cells") <= MAX_CELLS)
-    small = count.filter(fits).select(F.col("dataset").alias("d"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         g = DenseGraph.from_edges(zip(rows["u"], rows["v"]))
@@ -70,11 +71,78 @@ def solve_each(edges: DataFrame, k: int, theta: int, solver: Callable[..., Solut
         row = (rows["dataset"].iloc[0], len(rows), s.edges(g), missing, len(s.us), len(s.vs), s.feasible(theta), "ok")
         return pd.DataFrame([row], columns=[c.split()[0] for c in RESULT.split(", ")])
 
-    # A group has at most ``limit`` edges and a matrix that fits: larger graphs never reach a task.
-    solved = edges.join(small, F.col("dataset").eqNullSafe(F.col("d")), "left_semi").groupBy("dataset").applyInPandas(run, RESULT)
+    return edges.groupBy("dataset").applyInPandas(run, RESULT)
+
+
+def _fitting(edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, int]:
+    """The edges of graphs that one task can solve, those of the others, and how many others there are."""
+    count = sizes(edges)
+    fits = (F.col("edges") <= limit) & (F.col("n_u") * F.col("n_v") <= MAX_CELLS)
+    large = materialize(count.filter(~fits).select(F.col("dataset").alias("d")), "large")
+    same = F.col("dataset").eqNullSafe(F.col("d"))
+    return edges.join(large, same, "left_anti"), edges.join(large, same, "left_semi"), large.count()
+
+
+def _respond(edges: DataFrame, k: int, theta: int) -> DataFrame:
+    """(dataset, edges, missing, n_u, n_v) of each graph of (dataset, u, v) without common vertices, by best responses in joins.
+
+    The start is the pair of left vertices with most neighbours in common; its right
+    side answers it, the left side that, and the right side once more.
+    """
+    plain = materialize(edges.select("u", "v"), "edges")
+    owner = edges.select("dataset", F.col("u").alias("a")).distinct()
+    pairs = relational.codegree(plain, max(theta - k, 1)).join(owner, "a")
+    # One pair a graph, by a combining maximum.
+    best = pairs.groupBy("dataset").agg(F.max_by(F.struct("a", "b"), F.struct("c", -F.col("a"), -F.col("b"))).alias("p"))
+    fixed = best.select(F.col("p.a").alias("sid"), F.explode(F.array("p.a", "p.b")).alias("id"))
+    right = packing.best_response(plain, fixed, k, theta).select("sid", "id")
+    left = materialize(packing.best_response(transpose(plain), right, k, theta).select("sid", "id"), "left")
+    right = packing.greedy_fill(plain, left, k).select("sid", "id")
+    members = materialize(left.withColumn("is_u", F.lit(True)).unionByName(right.withColumn("is_u", F.lit(False))), "members")
+    found = relational.subgraph_counts(plain, members)
+    return best.select("dataset", F.col("p.a").alias("sid")).join(found, "sid").drop("sid")
+
+
+def solve_all(graphs: DataFrame, k: int, theta: int, solver: Callable[..., Solution], limit: int = SOLVE_LIMIT) -> DataFrame:
+    """One row per dataset of (dataset, u, v), in the columns of RESULT.
+
+    ``status`` is "empty core" where the reductions leave no edge, so no solution with
+    both sides of theta exists; "ok" where the solver ran on the core; "responses"
+    where the core stays too large for a task and best responses gave the row.
+    """
+    tau = theta - k
+    names = graphs.select("dataset").distinct()
+    core = peel(graphs, tau)
+    small, large, n_large = _fitting(core, limit)
+    rows = solve_each(small, k, theta, solver)
+    if n_large:
+        # Compact ids over (dataset, vertex): one graph whose parts share nothing, so its reduction is theirs.
+        numbered = large
+        for side in ("u", "v"):
+            ids = relational.dense_index(large.select(F.struct("dataset", side).alias("key")), "key")
+            numbered = numbered.withColumn("key", F.struct("dataset", side)).join(ids, "key").drop("key").withColumnRenamed("compact_id", f"{side}__")
+        numbered = materialize(numbered.select("dataset", F.col("u__").alias("u"), F.col("v__").alias("v")), "numbered")
+        reduced = reduction.common_neighbour(numbered.select("u", "v"), k, theta, rounds=None)
+        kept = materialize(reduced.join(numbered, ["u", "v"]).select("dataset", "u", "v"), "reduced")
+        small, large, n_large = _fitting(kept, limit)
+        rows = rows.unionByName(solve_each(small, k, theta, solver))
+        if n_large:
+            found = _respond(large, k, theta).withColumnRenamed("dataset", "d")
+            left = large.groupBy("dataset").agg(F.count(F.lit(1)).alias("edges_left"))
+            zero = F.lit(0).cast("long")
+            n_u, n_v = F.coalesce("n_u", zero).cast("int"), F.coalesce("n_v", zero).cast("int")
+            rows = rows.unionByName(
+                left.join(found, F.col("dataset").eqNullSafe(F.col("d")), "left").select(
+                    "dataset", "edges_left", F.coalesce("edges", zero).alias("edges"), F.coalesce("missing", zero).alias("missing"), n_u.alias("n_u"), n_v.alias("n_v"),
+                    ((n_u >= theta) & (n_v >= theta)).alias("theta_feasible"), F.lit("responses").alias("status"),
+                )
+            )
+    solved = materialize(rows, "solved")
+    rest = names.join(solved.select(F.col("dataset").alias("d")), F.col("dataset").eqNullSafe(F.col("d")), "left_anti")
     zero, none = F.lit(0).cast("bigint"), F.lit(0)
-    large = count.filter(~fits).select(
-        "dataset", F.col("n").alias("edges_left"), zero.alias("edges"), zero.alias("missing"), none.alias("n_u"), none.alias("n_v"),
-        F.lit(False).alias("theta_feasible"), F.lit("too large").alias("status"),
+    return solved.unionByName(
+        rest.select(
+            "dataset", zero.alias("edges_left"), zero.alias("edges"), zero.alias("missing"), none.alias("n_u"), none.alias("n_v"),
+            F.lit(False).alias("theta_feasible"), F.lit("empty core").alias("status"),
+        )
     )
-    return solved.unionByName(large)

@@ -18,9 +18,34 @@ def test_many_graphs_at_once(spark, rows):
     assert rows(many.sizes(edges)) == sorted([("a", 5, 4, 17), (None, 3, 5, 15), ("c", 1, 1, 1)], key=repr)
     core = many.peel(edges, 3)
     assert rows(many.sizes(core)) == sorted([("a", 4, 4, 16), (None, 3, 5, 15)], key=repr)
-    out = {r["dataset"]: (r["edges"], r["status"]) for r in many.solve_each(core, 0, 2, double_greedy, limit=15).collect()}
-    assert out == {"a": (0, "too large"), None: (15, "ok")}
-    assert many.solve_each(core.limit(0), 0, 2, double_greedy).count() == 0
+    out = {r["dataset"]: (r["edges"], r["status"]) for r in many.solve_all(edges, 0, 3, double_greedy).collect()}
+    assert out == {"a": (16, "ok"), None: (15, "ok"), "c": (0, "empty core")}
+    assert many.solve_all(edges.limit(0), 0, 2, double_greedy).count() == 0
+
+
+def test_graphs_beyond_a_task_are_solved_too(spark):
+    """With a limit of almost nothing the large graphs go through the reduction and, if need be, best responses."""
+    rng = random.Random(6)
+    data = []
+    for name in ("x", "y"):
+        noise = [(name, u, v) for u in range(1, 40) for v in range(1, 40) if rng.random() < 0.12]
+        data += noise + [(name, u, v) for u, v in block(range(100, 107), range(100, 108)) if (u, v) != (100, 100)]
+    data += [("tiny", u, v) for u, v in block(range(1, 6), range(1, 6))]
+    edges = many.graphs_from(spark.createDataFrame(data, "dataset string, u bigint, v bigint"))
+    for limit, status in ((60, "ok"), (30, "responses")):
+        out = {r["dataset"]: r for r in many.solve_all(edges, 1, 5, double_greedy, limit=limit).collect()}
+        assert set(out) == {"x", "y", "tiny"} and out["tiny"]["edges"] == 25
+        for name in ("x", "y"):
+            assert (out[name]["edges"], out[name]["missing"], out[name]["status"], out[name]["theta_feasible"]) == (55, 1, status, True)
+
+
+def test_grids_run_in_waves(spark):
+    graphs = {n: spark.createDataFrame(block(range(1, 6), range(1, 6)), "u bigint, v bigint") for n in "abc"}
+    specs = [{"method": "double-greedy"}]
+    whole = methods.run_grid(graphs, specs, 1, 3, [1], "none").collect()
+    waves = methods.run_grid(graphs, specs, 1, 3, [1], "none", max_cells=110).collect()
+    key = lambda r: (r["dataset"], r["edges"], r["status"])
+    assert sorted(map(key, whole)) == sorted(map(key, waves)) and len(waves) == 3
 
 
 def test_seeds_of_the_exact_search_agree():

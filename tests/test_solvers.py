@@ -167,3 +167,86 @@ def test_grid_on_spark(spark):
     assert methods.exact_parallel(g, 1, 3, spark, wave=3).edges(g) == 36
     with pytest.raises(TooLarge):
         DenseGraph.collect(edges, max_cells=10)
+
+
+def noisy(seed=5, n=40, m=50, density=0.1, side=8):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    matrix = rng.random((n, m)) < density
+    matrix[np.ix_(range(3, 3 + side), range(7, 7 + side))] = True
+    return DenseGraph(matrix, np.arange(n), np.arange(m))
+
+
+def test_every_bound_method_finds_a_planted_block():
+    g = noisy()
+    for name in methods.list_methods():
+        if name in ("heuristic", "double-greedy", "pivot"):
+            continue
+        for seed in (1, 2):
+            r = methods.make_method(name).solve(g, 2, 5, seed)
+            assert r.valid and r.edges >= 30, (name, seed, r.edges, r.missing)
+
+
+def test_parameters_of_settings_files_are_accepted():
+    g = noisy(n=25, m=25, side=6)
+    specs = [
+        ("aco", {"ants": 8, "iterations": 2, "prefer_smaller_side": True, "aco_tabu": True, "parallelize": True, "force_gc": True, "elite_seed": True, "elite_seed_ants": 2, "elite_seed_remove": 1, "pheromone": 1, "mmas": True, "greedy_fill": True}),
+        ("aco", {"ants": 8, "iterations": 2, "pheremone": 0, "elite_seed": False, "best_only_pheromone": True}),
+        ("edges", {"ants": 8, "iterations": 2, "subspecies": 2, "aco_tabu": True, "prefer_smaller_side": True}),
+        ("split_aco", {"prune_by_bound": True, "reduce_seeds": False, "local_reduction": True, "forward_only": True, "one_colony": False, "n_seeds": 5, "verbose": False}),
+        ("oracle_aco", {"decompose": True, "seed_size": 2, "n_seeds": 4, "discrepancy": 1, "pool": 16}),
+        ("tabu", {"use_heuristic": False, "N": 12}),
+        ("ga", {"H": 2, "O": 2, "repair": "tabu", "use_heuristic": False, "generations": 10}),
+        ("ga", {"repair": "greedy", "generations": 10}),
+        ("retry", {"β": 0.1, "p": 0.5, "max_steps": 2000}),
+    ]
+    for name, params in specs:
+        r = methods.make_method(name, **params).solve(g, 1, 4, 1)
+        assert r.k_valid, name
+    for name, params in (("aco", {"best_only_pheromone": True, "elite_pheromone": True}), ("ga", {"repair": "x"}), ("retry", {"beta": 1.0})):
+        try:
+            methods.make_method(name, **params).solve(g, 1, 4)
+        except ValueError:
+            continue
+        raise AssertionError(name)
+
+
+def test_exact_search_modes_pools_and_first_bounds():
+    for seed in range(4):
+        g = noisy(seed, 9, 12, 0.5, 4)
+        want = brute_force(g, 1, 3).edges(g)
+        for mode in ("pivot", "binary"):
+            r = methods.make_method("pivot", mode=mode, num_solutions=4, initial_seed=([3, 4, 5, 6], [7, 8])).solve(g, 1, 3)
+            assert r.edges == want
+            pool = r.meta["solutions"]
+            assert len({(tuple(u), tuple(v)) for u, v, _ in pool}) == len(pool) <= 4
+            assert [e for *_, e in pool] == sorted((e for *_, e in pool), reverse=True) and pool[0][2] == want
+        both = [[e for *_, e in methods.make_method("pivot", mode=m, num_solutions=5).solve(g, 1, 3).meta["solutions"]] for m in ("pivot", "binary")]
+        assert both[0] == both[1]
+
+
+def test_runs_repeat_for_a_seed_and_the_first_answer_counts():
+    g = noisy()
+    runs = {methods.make_method("tug", seed_source="random").solve(g, 2, 5, 7).edges for _ in range(4)}
+    assert len(runs) == 1
+    assert det.tug(g, 2, 5, max_shakes=0).edges(g) > 0
+
+
+def test_values_of_joining_and_leaving_equal_packing_again():
+    import numpy as np
+
+    from bipartiq.kernels.dense import joined_values, left_values, packed_value
+
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        matrix = rng.random((9, 12)) < 0.6
+        us, k = rng.permutation(9)[: rng.integers(1, 6)], int(rng.integers(0, 5))
+        cost = len(us) - matrix[us].sum(0)
+        edges, columns = joined_values(matrix, cost, len(us), k)
+        for x in set(range(9)) - set(us.tolist()):
+            assert (edges[x], columns[x]) == packed_value(matrix, np.append(us, x), k)
+        if len(us) > 1:
+            edges, columns = left_values(matrix, us, cost, k)
+            for i in range(len(us)):
+                assert (edges[i], columns[i]) == packed_value(matrix, np.delete(us, i), k)
