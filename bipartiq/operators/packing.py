@@ -32,8 +32,19 @@ def greedy_fill(edges: DataFrame, fixed: DataFrame, k: int) -> DataFrame:
     c = costs(edges, fixed)
     free = c.filter("cost = 0").select("sid", "id", "cost")
     paid = c.filter((F.col("cost") > 0) & (F.col("cost") <= k) & (F.col("cost") < F.col("n")))
-    order = Window.partitionBy("sid").orderBy("cost", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return free.unionByName(paid.withColumn("spent", F.sum("cost").over(order)).filter(F.col("spent") <= k).select("sid", "id", "cost"))
+    return free.unionByName(_affordable(paid, ["cost", "id"], k).select("sid", "id", "cost"))
+
+
+def _affordable(paid: DataFrame, order: list, k: int) -> DataFrame:
+    """The cheapest vertices of each subgraph whose costs stay within k, with their ``place``.
+
+    Each costs at least 1, so only the first k of an order can be among them: these
+    are picked before anything is summed, and in every task before the shuffle.
+    """
+    by = Window.partitionBy("sid").orderBy(*order)
+    first = paid.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= k)
+    spent = Window.partitionBy("sid").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return first.withColumn("spent", F.sum("cost").over(spent)).filter(F.col("spent") <= k)
 
 
 def fill_keeping(edges: DataFrame, fixed: DataFrame, k: int) -> DataFrame:
@@ -50,16 +61,16 @@ def best_response(edges: DataFrame, fixed: DataFrame, k: int, theta: int) -> Dat
     Order: cost, then larger degree in the whole graph, then id.
     """
     deg = edges.groupBy(F.col("v").alias("id")).agg(F.count(F.lit(1)).alias("deg"))
-    order = Window.partitionBy("sid").orderBy("cost", F.desc("deg"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seated = (
-        costs(edges, fixed)
-        .filter(F.col("cost") <= k)
-        .join(deg, "id")
-        .withColumn("spent", F.sum("cost").over(order))
-        .filter("spent <= " + str(int(k)))
-        .withColumn("place", F.row_number().over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .filter((F.col("cost") < F.col("n")) | (F.col("place") <= theta))
+    c = costs(edges, fixed).filter(F.col("cost") <= k)
+    free = c.filter("cost = 0").select("sid", "id", "cost")
+    n_free = free.groupBy("sid").agg(F.count(F.lit(1)).alias("n_free"))
+    paid = (
+        _affordable(c.filter("cost > 0").join(deg, "id"), ["cost", F.desc("deg"), "id"], k)
+        .join(n_free, "sid", "left")
+        .filter((F.col("cost") < F.col("n")) | (F.coalesce("n_free", F.lit(0)) + F.col("place") <= theta))
+        .select("sid", "id", "cost")
     )
+    seated = free.unionByName(paid)
     enough = seated.groupBy("sid").agg(F.count(F.lit(1)).alias("seats")).filter(F.col("seats") >= theta)
     return seated.join(enough, "sid", "left_semi").select("sid", "id", "cost")
 

@@ -108,23 +108,24 @@ def triangles(pairs: DataFrame) -> DataFrame:
     )
 
 
-def edge_support(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """(a, b, common, inside, triple): per projected edge its common projected neighbours,
-    the projected edges among these, and the most neighbours a, b and one of them share in the graph."""
-    tri = triangles(pairs)
-    common = tri.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
-    inner = pairs.select(F.col("a").alias("z"), F.col("b").alias("y"))
-    inside = tri.join(inner, "z").join(tri.select("a", "b", F.col("z").alias("y")), ["a", "b", "y"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("inside"))
-    e = edges.select("v", "u")
-    shared = (
-        tri.join(e.withColumnRenamed("u", "a"), "a").join(e.withColumnRenamed("u", "b"), ["b", "v"]).join(e.withColumnRenamed("u", "z"), ["z", "v"])
-        .groupBy("a", "b", "z").agg(F.count(F.lit(1)).alias("t")).groupBy("a", "b").agg(F.max("t").alias("triple"))
-    )
-    zero = F.lit(0).cast("long")
-    return (
-        pairs.select("a", "b").join(common, ["a", "b"], "left").join(inside, ["a", "b"], "left").join(shared, ["a", "b"], "left")
-        .select("a", "b", *[F.coalesce(c, zero).alias(c) for c in ("common", "inside", "triple")])
-    )
+def edge_support(pairs: DataFrame, edges: DataFrame, columns: tuple[str, ...] = ("common", "inside", "triple")) -> DataFrame:
+    """(a, b, common, inside, triple), or the columns asked for: per projected edge its common projected
+    neighbours, the projected edges among these, and the most neighbours a, b and one of them share in the graph."""
+    tri = triangles(pairs) if columns == ("common",) else materialize(triangles(pairs), "triangles")
+    out = pairs.select("a", "b")
+    if "common" in columns:
+        out = out.join(tri.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common")), ["a", "b"], "left")
+    if "inside" in columns:
+        inner = pairs.select(F.col("a").alias("z"), F.col("b").alias("y"))
+        inside = tri.join(inner, "z").join(tri.select("a", "b", F.col("z").alias("y")), ["a", "b", "y"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("inside"))
+        out = out.join(inside, ["a", "b"], "left")
+    if "triple" in columns:
+        # Common neighbours of each pair first: a few per pair, so few rows meet the third vertex.
+        e = edges.select("v", "u")
+        met = pairs.select("a", "b").join(e.withColumnRenamed("u", "a"), "a").join(e.withColumnRenamed("u", "b"), ["b", "v"])
+        shared = tri.join(met, ["a", "b"]).join(e.withColumnRenamed("u", "z"), ["z", "v"]).groupBy("a", "b", "z").agg(F.count(F.lit(1)).alias("t"))
+        out = out.join(shared.groupBy("a", "b").agg(F.max("t").alias("triple")), ["a", "b"], "left")
+    return out.select("a", "b", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in columns])
 
 
 def projection_edges_round(pairs: DataFrame, edges: DataFrame, k: int, theta: int) -> DataFrame:
@@ -179,12 +180,15 @@ def smaller_side(edges: DataFrame) -> str:
 
 
 def super_reduce(
-    edges: DataFrame, k: int, theta: int, side: str | None = None, incumbent: DataFrame | None = None, rounds: int = 2
-) -> DataFrame:
+    edges: DataFrame, k: int, theta: int, side: str | None = None, incumbent: DataFrame | None = None, rounds: int | None = 2,
+    inner_rounds: int | None = MAX_ROUNDS,
+) -> DataFrame:
     """Projection rules and common-neighbour reduction in turn; safe unless an incumbent (id) is given.
 
     ``side`` is the side projected, by default the one of fewer wedges; an
     incumbent holds ids of that side and adds the neighbourhood-weight rule.
+    ``rounds`` bounds the turns and ``inner_rounds`` each rule's own; None goes on to
+    the fixpoint.
     """
     if theta - k <= 0:
         return edges
@@ -192,11 +196,13 @@ def super_reduce(
     graph = edges if side == "u" else transpose(edges)
     graph = materialize(graph, "reduced")
     before = graph.count()
-    for _ in range(rounds):
-        graph = common_neighbour(graph, k, theta)
-        pairs = projection_reduced(projection(graph, k, theta), graph, k, theta)
+    turns = 0
+    while rounds is None or turns < rounds:
+        turns += 1
+        graph = common_neighbour(graph, k, theta, inner_rounds)
+        pairs = projection_reduced(projection(graph, k, theta), graph, k, theta, inner_rounds)
         if incumbent is not None:
-            pairs = neighbourhood_weight_prune(pairs, incumbent)
+            pairs = neighbourhood_weight_prune(pairs, incumbent, inner_rounds)
         graph = materialize(peel(restrict(graph, pairs) if theta > 1 else graph, theta - k), "reduced")
         left = graph.count()
         if left == before:
@@ -243,19 +249,19 @@ def progressive(edges: DataFrame, k: int, theta: int, best_edges: int, search) -
 
 
 REDUCTIONS = {
-    "none": lambda e, k, theta: e,
+    "none": lambda e, k, theta, rounds: e,
     "simple": common_neighbour,
-    "all_reductions": lambda e, k, theta: super_reduce(e, k, theta),
-    "quartile": lambda e, k, theta: common_neighbour(top_pulse(e), k, theta),
-    "neighborhood": lambda e, k, theta: common_neighbour(top_similar(e, theta=theta), k, theta),
+    "all_reductions": lambda e, k, theta, rounds: super_reduce(e, k, theta, inner_rounds=rounds, rounds=None if rounds is None else 2),
+    "quartile": lambda e, k, theta, rounds: common_neighbour(top_pulse(e), k, theta, rounds),
+    "neighborhood": lambda e, k, theta, rounds: common_neighbour(top_similar(e, theta=theta), k, theta, rounds),
 }
 
 
-def reduce_graph(edges: DataFrame, k: int, theta: int, mode: str = "simple") -> DataFrame:
-    """One of the named reductions; "quartile" and "neighborhood" are heuristic."""
+def reduce_graph(edges: DataFrame, k: int, theta: int, mode: str = "simple", rounds: int | None = MAX_ROUNDS) -> DataFrame:
+    """One of the named reductions, to so many rounds or (None) its fixpoint; "quartile" and "neighborhood" are heuristic."""
     if mode not in REDUCTIONS:
         raise ValueError(f"unknown reduction {mode!r}; known: {', '.join(REDUCTIONS)}")
-    return REDUCTIONS[mode](edges, k, theta)
+    return REDUCTIONS[mode](edges, k, theta, rounds)
 
 
 def phase_sizes(phases: dict[str, DataFrame]) -> DataFrame:

@@ -120,13 +120,13 @@ def candidates(edges: DataFrame, members: DataFrame, k: int) -> DataFrame:
     counts = subgraph_counts(edges, members).withColumn("budget", F.lit(k) - F.col("missing"))
     opposite = F.when(F.col("is_u"), F.col("n_v")).otherwise(F.col("n_u"))
     near = degree_in_subgraph(edges, members)
-    loose = (
-        counts.filter((F.col("budget") >= F.col("n_u")) | (F.col("budget") >= F.col("n_v")))
-        .select("sid")
-        .crossJoin(vertices(edges))  # both sides: only subgraphs of at most k vertices on a side
-        .join(near.select("sid", "is_u", "id"), ["sid", "is_u", "id"], "left_anti")
-        .withColumn("deg", F.lit(0).cast("long"))
-    )
+    # Every vertex of a side fits where the opposite side is within the budget: these pairs are the result itself, none is made in vain.
+    sides = [("u", True, "n_v"), ("v", False, "n_u")]
+    every = [
+        counts.filter(F.col("budget") >= F.col(n)).select("sid").crossJoin(edges.select(F.lit(is_u).alias("is_u"), F.col(side).alias("id")).distinct())
+        for side, is_u, n in sides
+    ]
+    loose = every[0].unionByName(every[1]).join(near.select("sid", "is_u", "id"), ["sid", "is_u", "id"], "left_anti").withColumn("deg", F.lit(0).cast("long"))
     return (
         near.unionByName(loose.select("sid", "is_u", "id", "deg"))
         .join(counts, "sid")
@@ -137,6 +137,26 @@ def candidates(edges: DataFrame, members: DataFrame, k: int) -> DataFrame:
     )
 
 
+def candidate_sizes(edges: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """(sid, is_u, n): how many candidates each subgraph has, without listing those that have no neighbour inside.
+
+    Where a side's vertices all fit, it is that side's size less the members and
+    less the vertices with a neighbour inside that don't fit; so nothing is crossed.
+    """
+    counts = subgraph_counts(edges, members).withColumn("budget", F.lit(k) - F.col("missing"))
+    opposite = F.when(F.col("is_u"), F.col("n_v")).otherwise(F.col("n_u"))
+    own = members.select("sid", "is_u", "id").distinct().withColumn("inside", F.lit(True))
+    near = degree_in_subgraph(edges, members).join(own, ["sid", "is_u", "id"], "left").join(counts, "sid").withColumn("fits", opposite - F.col("deg") <= F.col("budget"))
+    outside = F.col("inside").isNull()
+    found = near.groupBy("sid", "is_u").agg(F.count(F.when(outside & F.col("fits"), 1)).alias("fit"), F.count(F.when(outside, 1)).alias("near"))
+    sides = edges.agg(F.count_distinct("u").alias("all_u"), F.count_distinct("v").alias("all_v"))
+    both = counts.select("sid", "n_u", "n_v", "budget", F.explode(F.array(F.lit(True), F.lit(False))).alias("is_u")).crossJoin(F.broadcast(sides))  # one row of totals
+    zero = F.lit(0).cast("long")
+    side, mine = F.when(F.col("is_u"), F.col("all_u")).otherwise(F.col("all_v")), F.when(F.col("is_u"), F.col("n_u")).otherwise(F.col("n_v"))
+    far = F.when(opposite <= F.col("budget"), side - mine - F.coalesce("near", zero)).otherwise(zero)
+    return both.join(found, ["sid", "is_u"], "left").select("sid", "is_u", (F.coalesce("fit", zero) + far).alias("n"))
+
+
 def nonneighbours(edges: DataFrame, members: DataFrame) -> DataFrame:
     """(sid, u, v): pairs of each subgraph that are no edges; only vertices that lack some are paired."""
     lacking = nondegrees(edges, members).filter("nondegree > 0")
@@ -237,15 +257,13 @@ def two_hop(edges: DataFrame) -> DataFrame:
 def degree_order(edges: DataFrame, side: str = "u", descending: bool = True) -> DataFrame:
     """(id, deg, place): vertices by degree, ties by id; places from 1.
 
-    The order is one over (degree, id); degrees are grouped first, so places come
-    from counts per degree and a rank inside it.
+    Places come from a sort by ranges of (degree, id) over all partitions, so that a
+    degree which most vertices have is split like any other range.
     """
     deg = degrees(edges, side)
-    order = F.desc("deg") if descending else F.asc("deg")
-    per = deg.groupBy("deg").agg(F.count(F.lit(1)).alias("n"))
-    before = per.select("deg", (F.sum("n").over(Window.orderBy(order)) - F.col("n")).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("deg").orderBy("id"))
-    return deg.withColumn("inside", inside).join(before, "deg").select("id", "deg", (F.col("before") + F.col("inside")).alias("place"))
+    keyed = materialize(deg.select(F.struct((-F.col("deg") if descending else F.col("deg")).alias("d"), F.col("id")).alias("key")), "degrees")
+    value = -F.col("key.d") if descending else F.col("key.d")
+    return dense_index(keyed, "key").select("key.id", value.alias("deg"), F.col("compact_id").alias("place"))
 
 
 def three_hop(edges: DataFrame, roots: DataFrame, ranks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -312,25 +330,34 @@ def maximal_seeds(edges: DataFrame, places: DataFrame, isolated: DataFrame | Non
     return kept.unionByName(first.join(deg.select(F.lit(1).alias("x")).limit(1), F.lit(True), "left_anti"))
 
 
+#: Pairs of the largest planted block that is numbered in one task and broadcast.
+SMALL_BLOCK = 100_000
+
+
 def plant(edges: DataFrame, n_u: int, n_v: int, k: int, seed: int = 1) -> DataFrame:
     """(u, v, planted): the graph with an n_u x n_v block that lacks exactly k pairs.
 
     Vertices are chosen by an arithmetic hash of their ids, the pairs left out by
     one of both ids; pairs of the block that are edges already stay edges, so k
-    absent pairs must exist. The block is small by contract (n_u * n_v pairs).
+    absent pairs must exist. A block of more than ``SMALL_BLOCK`` pairs is numbered
+    by ranges and joined by a shuffle.
     """
     if not 0 <= k < n_u * n_v:
         raise ValueError("a block must lack at least 0 and fewer than all of its pairs")
+    small = n_u * n_v <= SMALL_BLOCK
     mix = lambda c: (F.col(c) * 2654435761 + seed) % 4294967296
     us = edges.select("u").distinct().orderBy(mix("u"), "u").limit(n_u)
     vs = edges.select("v").distinct().orderBy(mix("v"), "v").limit(n_v)
     block = us.crossJoin(vs)
-    absent = block.join(edges, ["u", "v"], "left_anti")
-    pair = (F.col("u") * 31 + F.col("v") * 17 + seed) % 1009
-    new = absent.withColumn("place", F.row_number().over(Window.orderBy(pair, "u", "v"))).filter(F.col("place") > k).select("u", "v")
+    pair = ((F.col("u") * 31 + F.col("v") * 17 + seed) % 1009).alias("h")
+    absent = block.join(edges, ["u", "v"], "left_anti").select(F.struct(pair, "u", "v").alias("key"))
+    if small:
+        numbered = absent.withColumn("place", F.row_number().over(Window.orderBy("key")))
+    else:
+        numbered = dense_index(absent, "key").withColumnRenamed("compact_id", "place")
+    new = numbered.filter(F.col("place") > k).select("key.u", "key.v")
     marked = block.withColumn("planted", F.lit(True))
-    return edges.unionByName(new).join(F.broadcast(marked), ["u", "v"], "left").select("u", "v", F.coalesce("planted", F.lit(False)).alias("planted"))
-
+    return edges.unionByName(new).join(F.broadcast(marked) if small else marked, ["u", "v"], "left").select("u", "v", F.coalesce("planted", F.lit(False)).alias("planted"))
 
 
 def random_graph(spark, n_u: int, n_v: int, p: float, seed: int = 1) -> DataFrame:

@@ -15,8 +15,6 @@ from bipartiq.graph import transpose
 from bipartiq.operators.relational import both_ways, degrees, dense_index, vertex_degrees
 from bipartiq.session import materialize
 
-ITERATIONS_PER_COPY = 5
-
 
 def counted_wedges(edges: DataFrame) -> DataFrame:
     """(a, b, v, c): each wedge of left vertices a < b over v, with the number of wedges of its pair.
@@ -63,17 +61,34 @@ def four_cycles(edges: DataFrame) -> DataFrame:
 
     ``raw`` sums the common neighbours of u with each other neighbour of v; each
     holds v itself, so ``cycles``, the four-cycles through the edge, is less by
-    deg(v) - 1. ``possible`` is max(1, (deg u - 1)(deg v - 1)). A wedge (a, b, v)
-    adds the number of wedges of its pair to the edges (a, v) and (b, v), so all of
-    it comes from one shuffle of the wedges and a combining sum.
+    deg(v) - 1. ``possible`` is max(1, (deg u - 1)(deg v - 1)).
+
+    Every four-cycle is counted once, from its vertex of highest degree: only wedges
+    that start there and stay below it are expanded. A hub is the middle of wedges
+    that start at larger hubs alone, so their number is that of edges times the
+    smaller degree of each at most, not the sum of squared degrees. A wedge adds the
+    other wedges of its pair of ends to both its edges.
     """
     edges = materialize(edges, "edges")
     du = degrees(edges, "u").select(F.col("id").alias("u"), F.col("deg").alias("du"))
     dv = degrees(edges, "v").select(F.col("id").alias("v"), F.col("deg").alias("dv"))
-    raw = counted_wedges(edges).select(F.explode(F.array("a", "b")).alias("u"), "v", "c").groupBy("u", "v").agg(F.sum("c").alias("raw"))
-    full = edges.join(raw, ["u", "v"], "left").join(du, "u").join(dv, "v").withColumn("raw", F.coalesce("raw", F.lit(0).cast("long")))
-    return full.select(
-        "u", "v", "raw", (F.col("raw") - F.col("dv") + 1).alias("cycles"),
+    full = materialize(edges.join(du, "u").join(dv, "v"), "degrees")
+
+    def one_side(x: str, y: str) -> DataFrame:
+        """(u, v, cycles) from wedges x - y - z whose first end ranks highest, x and z on one side."""
+        dx, dy = f"d{x}", f"d{y}"
+        # Ranks by degree, then side, then id: of two vertices the left side's counts as the higher one at equal degrees.
+        above = (F.col(dx) > F.col(dy)) | ((F.col(dx) == F.col(dy)) & F.lit(x == "u"))
+        starts = full.filter(above).select(F.col(x).alias("a"), F.col(dx).alias("da"), F.col(y).alias("mid"))
+        ends = full.select(F.col(x).alias("b"), F.col(dx).alias("db"), F.col(y).alias("mid"))
+        lower = (F.col("db") < F.col("da")) | ((F.col("db") == F.col("da")) & (F.col("b") < F.col("a")))
+        wedges = starts.join(ends, "mid").filter(lower).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("a", "b")) - 1).filter("c > 0")
+        return wedges.select(F.explode(F.array("a", "b")).alias(x), F.col("mid").alias(y), "c").select("u", "v", "c")
+
+    met = one_side("u", "v").unionByName(one_side("v", "u")).groupBy("u", "v").agg(F.sum("c").alias("cycles"))
+    cycles = F.coalesce("cycles", F.lit(0).cast("long"))
+    return full.join(met, ["u", "v"], "left").select(
+        "u", "v", (cycles + F.col("dv") - 1).alias("raw"), cycles.alias("cycles"),
         F.greatest(F.lit(1).cast("long"), (F.col("du") - 1) * (F.col("dv") - 1)).alias("possible"),
     )
 
@@ -120,8 +135,13 @@ def pulse_weights(edges: DataFrame, iterations: int = 20, formula: str = "standa
         raise ValueError(f"unknown pulse formula {formula!r}; known: {', '.join(pulse_names())}")
     du = degrees(edges, "u").select(F.col("id").alias("u"), F.col("deg").alias("du"))
     dv = degrees(edges, "v").select(F.col("id").alias("v"), F.col("deg").alias("dv"))
-    r = (F.row_number().over(Window.partitionBy("v").orderBy("u")) - 1).cast("double")
-    ranked = edges.withColumn("r", r if formula.lower() == "product" or formula.lower() not in ("standard", "degree_sq", "uniform") else F.lit(0.0))
+    if formula.lower() in ("standard", "degree_sq", "uniform"):  # these don't look at places
+        ranked = edges.withColumn("r", F.lit(0.0))
+    else:
+        # Edges in the order of (v, u) by ranges over all partitions; a place is the distance from its v's first edge.
+        order = materialize(dense_index(edges.select(F.struct("v", "u").alias("key")), "key").select("key.u", "key.v", "compact_id"), "places")
+        first = order.groupBy("v").agg(F.min("compact_id").alias("first"))
+        ranked = order.join(first, "v").select("u", "v", (F.col("compact_id") - F.col("first")).cast("double").alias("r"))
     full = ranked.join(du, "u").join(dv, "v")
     return full.select("u", "v", _PULSES[formula.lower()](iterations, F.col("du").cast("double"), F.col("dv").cast("double"), F.col("r")).alias("weight"))
 
@@ -147,7 +167,7 @@ def diffuse(edges: DataFrame, iterations: int = 20, weights: DataFrame | None =
     """(is_u, id, value): vertex values that start as degrees and diffuse along weighted edges.
 
     Each step sets a vertex to the weighted mean of itself (weight 1) and its
-    neighbours, both sides from the old values. Lineage is cut every few steps.
+    neighbours, both sides from the old values. Lineage is cut at every step.
     """
     w = materialize(diffusion_weights(edges) if weights is None else weights, "weights")
     flows = materialize(
@@ -159,14 +179,14 @@ def diffuse(edges: DataFrame, iterations: int = 20, weights: DataFrame | None =
     totals = flows.groupBy("is_u", "id").agg((F.sum("c") + 1).alias("total"))
     state = vertex_degrees(edges).select("is_u", "id", F.col("deg").cast("double").alias("value")).join(totals, ["is_u", "id"], "left")
     state = materialize(state.withColumn("total", F.coalesce("total", F.lit(1).cast("long"))), "diffusion")
-    for step in range(iterations):
+    for _ in range(iterations):
         sources = state.select((~F.col("is_u")).alias("is_u"), F.col("id").alias("from"), F.col("value").alias("y"))
         came = flows.join(sources, ["is_u", "from"]).groupBy("is_u", "id").agg(F.sum(F.col("c") * F.col("y")).alias("inflow"))
         state = state.join(came, ["is_u", "id"], "left").select(
             "is_u", "id", ((F.col("value") + F.coalesce("inflow", F.lit(0.0))) / F.col("total")).alias("value"), "total"
         )
-        if (step + 1) % ITERATIONS_PER_COPY == 0:
-            state = materialize(state, "diffusion")
+        # Each step reads the state twice, so it is written every time: the plan never doubles.
+        state = materialize(state, "diffusion")
     return state.select("is_u", "id", "value")
 
 

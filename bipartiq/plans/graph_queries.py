@@ -178,6 +178,16 @@ def candidate_set(spark, folder):
     return relational.candidates(edges, _stars(edges), K)
 
 
+@query(f"""{M_STARS}, {COUNTS}, d AS (SELECT m.sid, e.u AS id, count(*) AS deg FROM e JOIN m ON NOT m.is_u AND m.id = e.v WHERE e.u <> m.sid GROUP BY m.sid, e.u),
+t AS (SELECT count(DISTINCT u) AS nu, count(DISTINCT v) AS nv FROM e)
+SELECT c.sid, true AS is_u, count(d.id) FILTER (c.n_v - d.deg <= {K} - c.missing) + CASE WHEN c.n_v <= {K} - c.missing THEN any_value(t.nu) - 1 - count(d.id) ELSE 0 END AS n
+FROM c CROSS JOIN t LEFT JOIN d ON d.sid = c.sid GROUP BY c.sid, c.n_v, c.missing
+UNION ALL SELECT c.sid, false, CASE WHEN c.n_u <= {K} - c.missing THEN t.nv - c.n_v ELSE 0 END FROM c, t""")
+def candidate_sizes(spark, folder):
+    edges = cust_part(spark, folder)
+    return relational.candidate_sizes(edges, _stars(edges), K)
+
+
 @query(f"""{M_BLOCKS} SELECT a.sid, a.id AS u, b.id AS v FROM m a JOIN m b ON a.sid = b.sid AND a.is_u AND NOT b.is_u
 WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.u = a.id AND e.v = b.id)""", E_HOUR)
 def nonneighbors(spark, folder):
@@ -476,25 +486,42 @@ def peel_rounds(spark, folder):
     return reduction.peel(cust_part(spark, folder), 25, rounds=3)
 
 
-@query("", "")
+def _unrolled(rounds: int, first: str, step) -> str:
+    """A fixpoint in SQL: more rounds than it takes on the tables it is compared on; further rounds change nothing."""
+    ctes = [f"r0 AS MATERIALIZED (SELECT * FROM {first})"]
+    return ", ".join(ctes + [step(f"r{n}", f"r{n + 1}", n) for n in range(rounds)])
+
+
+def _peel_step(least: int):
+    return lambda source, target, n: _peel_sql(source, target, least).replace(" AS (", " AS MATERIALIZED (", 1)
+
+
+#: A degree whose core isn't empty, and not the whole graph.
+CORE = 22
+
+
+@query(f"{_unrolled(16, 'e', _peel_step(CORE))} SELECT u, v FROM r16")
 def peel_fixpoint(spark, folder):
-    return reduction.peel(cust_part(spark, folder), 25)
+    return reduction.peel(cust_part(spark, folder), CORE)
 
 
-_CNR = f"""{_peel_sql('e', 'g', TAU)},
-pu AS (SELECT x.u AS a, y.u AS b FROM g x JOIN g y ON x.v = y.v AND x.u <> y.u GROUP BY ALL HAVING count(*) >= {TAU}),
-pv AS (SELECT x.v AS a, y.v AS b FROM g x JOIN g y ON x.u = y.u AND x.v <> y.v GROUP BY ALL HAVING count(*) >= {TAU}),
-su AS (SELECT x.u, x.v FROM g x JOIN g y ON x.v = y.v JOIN pu ON pu.a = x.u AND pu.b = y.u GROUP BY ALL HAVING count(*) >= {TAU - 1}),
-sv AS (SELECT x.u, x.v FROM g x JOIN g y ON x.u = y.u JOIN pv ON pv.a = x.v AND pv.b = y.v GROUP BY ALL HAVING count(*) >= {TAU - 1}),
-h AS (SELECT u, v FROM su INTERSECT SELECT u, v FROM sv), {_peel_sql('h', 'h2', TAU)}"""
+def _cnr_sql(source: str, target: str, n: int | str = "") -> str:
+    """One common-neighbour round; the names of its steps end in n."""
+    m = "AS MATERIALIZED"
+    return f"""{_peel_sql(source, f'g{n}', TAU).replace(" AS (", f" {m} (", 1)},
+pu{n} {m} (SELECT x.u AS a, y.u AS b FROM g{n} x JOIN g{n} y ON x.v = y.v AND x.u <> y.u GROUP BY ALL HAVING count(*) >= {TAU}),
+pv{n} {m} (SELECT x.v AS a, y.v AS b FROM g{n} x JOIN g{n} y ON x.u = y.u AND x.v <> y.v GROUP BY ALL HAVING count(*) >= {TAU}),
+su{n} AS (SELECT x.u, x.v FROM g{n} x JOIN g{n} y ON x.v = y.v JOIN pu{n} p ON p.a = x.u AND p.b = y.u GROUP BY ALL HAVING count(*) >= {TAU - 1}),
+sv{n} AS (SELECT x.u, x.v FROM g{n} x JOIN g{n} y ON x.u = y.u JOIN pv{n} p ON p.a = x.v AND p.b = y.v GROUP BY ALL HAVING count(*) >= {TAU - 1}),
+h{n} {m} (SELECT u, v FROM su{n} INTERSECT SELECT u, v FROM sv{n}), {_peel_sql(f'h{n}', target, TAU).replace(" AS (", f" {m} (", 1)}"""
 
 
-@query(f"{_CNR} SELECT u, v FROM h2")
+@query(f"{_cnr_sql('e', 'done')} SELECT u, v FROM done")
 def cnr_round(spark, folder):
     return reduction.common_neighbour(cust_part(spark, folder), K, THETA, rounds=1)
 
 
-@query("", "")
+@query(f"{_unrolled(48, 'e', _cnr_sql)} SELECT u, v FROM r48")
 def cnr_fixpoint(spark, folder):
     return reduction.common_neighbour(cust_part(spark, folder), K, THETA, rounds=None)
 
@@ -515,15 +542,10 @@ def theta_core_rounds(spark, folder):
     return reduction.projection_core(reduction.projection(cust_part(spark, folder), K, THETA), 81, rounds=2)
 
 
-# The four queries with SQL are of the denser projection that their SQL states, at THETA; those named _tau and core_numbers are of the whole projection, at TAU.
-_TRI = f"""{PAIRS}, q AS (SELECT a, b, c FROM p WHERE c >= {THETA}), w AS (SELECT a, b FROM q UNION ALL SELECT b, a FROM q),
+_TRI = f"""{PAIRS}, q AS (SELECT a, b, c FROM p WHERE c >= {TAU}), w AS (SELECT a, b FROM q UNION ALL SELECT b, a FROM q),
 t AS (SELECT q.a, q.b, x.b AS z FROM q JOIN w x ON x.a = q.a JOIN w y ON y.a = q.b AND y.b = x.b)"""
 
 
-def _pairs(edges: DataFrame) -> DataFrame:
-    return materialize(relational.codegree(edges, THETA), "pairs")
-
-
 def _projected(edges: DataFrame) -> DataFrame:
     return materialize(reduction.projection(edges, K, THETA), "pairs")
 
@@ -531,48 +553,26 @@ def _projected(edges: DataFrame) -> DataFrame:
 @query(f"{_TRI} SELECT q.a, q.b, count(t.z) AS common FROM q LEFT JOIN t ON t.a = q.a AND t.b = q.b GROUP BY ALL")
 def edge_rule_size(spark, folder):
     edges = materialize(cust_part(spark, folder), "edges")
-    return reduction.edge_support(_pairs(edges), edges).select("a", "b", "common")
+    return reduction.edge_support(_projected(edges), edges, ("common",))
 
 
 @query(f"""{_TRI}, i AS (SELECT s.a, s.b, count(*) AS inside FROM t s JOIN t r ON r.a = s.a AND r.b = s.b AND s.z < r.z JOIN q ON q.a = s.z AND q.b = r.z GROUP BY ALL)
 SELECT q.a, q.b, coalesce(inside, 0) AS inside FROM q LEFT JOIN i ON i.a = q.a AND i.b = q.b""")
 def edge_rule_induced(spark, folder):
     edges = materialize(cust_part(spark, folder), "edges")
-    return reduction.edge_support(_pairs(edges), edges).select("a", "b", "inside")
+    return reduction.edge_support(_projected(edges), edges, ("inside",))
 
 
-@query(f"""{_TRI}, y AS (SELECT t.a, t.b, t.z, count(*) AS n FROM t JOIN e x ON x.u = t.a JOIN e y ON y.u = t.b AND y.v = x.v JOIN e w2 ON w2.u = t.z AND w2.v = x.v GROUP BY ALL)
+@query(f"""{_TRI}, cm AS MATERIALIZED (SELECT q.a, q.b, x.v FROM q JOIN e x ON x.u = q.a JOIN e y ON y.u = q.b AND y.v = x.v),
+y AS (SELECT t.a, t.b, t.z, count(*) AS n FROM t JOIN cm ON cm.a = t.a AND cm.b = t.b JOIN e w2 ON w2.u = t.z AND w2.v = cm.v GROUP BY ALL)
 SELECT q.a, q.b, coalesce(max(n), 0) AS triple FROM q LEFT JOIN y ON y.a = q.a AND y.b = q.b GROUP BY q.a, q.b""")
 def edge_rule_triangle(spark, folder):
     edges = materialize(cust_part(spark, folder), "edges")
-    return reduction.edge_support(_pairs(edges), edges).select("a", "b", "triple")
+    return reduction.edge_support(_projected(edges), edges, ("triple",))
 
 
 @query(f"{_TRI}, g AS (SELECT t.z AS id, sum(q.c) AS weight FROM t JOIN q ON q.a = t.a AND q.b = t.b GROUP BY t.z) SELECT w.a AS id, coalesce(any_value(weight), 0)::BIGINT AS weight FROM w LEFT JOIN g ON g.id = w.a GROUP BY w.a")
 def neighborhood_weight(spark, folder):
-    return reduction.neighbourhood_weight(_pairs(cust_part(spark, folder)))
-
-
-@query("", "")
-def edge_rule_size_tau(spark, folder):
-    edges = materialize(cust_part(spark, folder), "edges")
-    return reduction.edge_support(_projected(edges), edges).select("a", "b", "common")
-
-
-@query("", "")
-def edge_rule_induced_tau(spark, folder):
-    edges = materialize(cust_part(spark, folder), "edges")
-    return reduction.edge_support(_projected(edges), edges).select("a", "b", "inside")
-
-
-@query("", "")
-def edge_rule_triangle_tau(spark, folder):
-    edges = materialize(cust_part(spark, folder), "edges")
-    return reduction.edge_support(_projected(edges), edges).select("a", "b", "triple")
-
-
-@query("", "")
-def neighborhood_weight_tau(spark, folder):
     return reduction.neighbourhood_weight(_projected(cust_part(spark, folder)))
 
 
@@ -645,7 +645,14 @@ def cliques_of_projection(spark, folder):
     return relational.is_clique(relational.codegree(edges, TAU).select("a", "b"), sets)
 
 
-@query("", "")
+def _core_step(source: str, target: str, n: int) -> str:
+    """Every vertex falls to the most h for which h of its neighbours have at least h."""
+    return f"""{target} AS MATERIALIZED (SELECT r.id, least(r.core, max(least(s.core, s.p))) AS core FROM {source} r
+  JOIN (SELECT w.a, x.core, row_number() OVER (PARTITION BY w.a ORDER BY x.core DESC) AS p FROM w JOIN {source} x ON x.id = w.b) s ON s.a = r.id GROUP BY r.id, r.core)"""
+
+
+@query(f"""{PAIRS}, w AS MATERIALIZED (SELECT a, b FROM p WHERE c >= {TAU} UNION ALL SELECT b, a FROM p WHERE c >= {TAU}),
+d AS (SELECT a AS id, count(*) AS core FROM w GROUP BY a), {_unrolled(40, 'd', _core_step)} SELECT id, core FROM r40""")
 def core_numbers(spark, folder):
     return relational.core_numbers(_projected(cust_part(spark, folder)))
 
