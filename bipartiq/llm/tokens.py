@@ -51,32 +51,63 @@ class PrefixEncoder:
         self.split = regex.compile(PATTERN).findall
         self.pieces: dict[str, list[int]] = {}
         self._apart: dict[tuple[int, int], bool] = {}
-        self._whole: dict[int, bool] = {}
+        self._halves: dict[int, tuple[int, ...]] = {}
 
-    def merged(self, data: bytes) -> list[int]:
-        """The encoding by its definition: always merge the pair of least rank, leftmost first."""
+    def merged(self, data: bytes, until: int = 1) -> list[int]:
+        """The encoding by its definition: always merge the pair of least rank, leftmost first; not below ``until`` parts."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            least, at = min(
-                (self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)
-            )
-            if least == 1 << 60:
+        ranks, none = self.ranks, 1 << 60
+        costs = [ranks.get(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while len(parts) > until:
+            least = min(costs, default=none)
+            if least == none:
                 break
+            at = costs.index(least)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+            del costs[at]
+            if at:
+                costs[at - 1] = ranks.get(parts[at - 1] + parts[at], none)
+            if at < len(costs):
+                costs[at] = ranks.get(parts[at] + parts[at + 1], none)
+        return [ranks[p] for p in parts]
+
+    def halves(self, token: int) -> tuple[int, ...]:
+        """The two tokens whose merge makes a token; a byte alone is itself; nothing if merging its bytes doesn't give it."""
+        found = self._halves.get(token)
+        if found is None:
+            data = self.tokens[token]
+            parts = self.merged(data, 2)
+            good = len(data) == 1 or (len(parts) == 2 and self.ranks.get(self.tokens[parts[0]] + self.tokens[parts[1]]) == token)
+            found = self._halves[token] = tuple(parts) if good else ()
+        return found
 
     def whole(self, token: int) -> bool:
         """Whether merging a token's own bytes gives the token."""
-        if token not in self._whole:
-            self._whole[token] = self.merged(self.tokens[token]) == [token]
-        return self._whole[token]
+        return bool(self.halves(token))
 
     def apart(self, first: int, second: int) -> bool:
-        """Whether two tokens in a row stay as they are when their bytes are merged."""
+        """Whether two tokens in a row stay as they are when their bytes are merged.
+
+        Merging is run backwards at the border alone: of the two parts that meet there
+        the one merged last is undone, and what it leaves at the border must not have
+        merged across before. At equal ranks the merge further left came first.
+        """
         pair = (first, second)
         known = self._apart.get(pair)
         if known is None:
-            known = self.merged(self.tokens[first] + self.tokens[second]) == [first, second]
+            left, right, before = first, second, 1 << 60
+            while True:
+                if self.ranks.get(self.tokens[left] + self.tokens[right], 1 << 60) < before:
+                    known = False
+                    break
+                from_left, from_right = self.halves(left), self.halves(right)
+                if len(from_left) == len(from_right) == 1:
+                    known = True
+                    break
+                if len(from_right) == 1 or (left > right and len(from_left) == 2):
+                    left, before = from_left[1], left
+                else:
+                    right, before = from_right[0], right + 1
             if len(self._apart) >= 2_000_000:
                 self._apart.clear()
             self._apart[pair] = known
@@ -111,7 +142,8 @@ class PrefixEncoder:
         found = self.pieces.get(text)
         if found is None:
             data = text.encode("utf-8", "surrogatepass")
-            found = self.backwards(self.extend(data, []))
+            token = self.ranks.get(data)
+            found = [token] if token is not None and self.whole(token) else self.backwards(self.extend(data, []))
             if len(self.pieces) >= REMEMBERED:
                 self.pieces.clear()
             if len(text) <= 256:
