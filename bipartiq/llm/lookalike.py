@@ -2,8 +2,8 @@
 
 Each Arrow batch of texts runs through an embedded DuckDB: regular expressions
 take out invisible characters, ``nfc_normalize`` composes accents, ``translate``
-maps width forms, word spaces and look-alike letters one to one, and ``replace``
-opens ligatures. What a reader can tell apart stays apart: case, accents, raised,
+maps width forms, word spaces and look-alike letters one to one, and a table opens
+ligatures. What a reader can tell apart stays apart: case, accents, raised,
 lowered and circled signs, line breaks, and the number of spaces. Compatibility
 folding (NFKC) would merge those, so it isn't used. Instead the maps follow the
 tags of Unicode's own decompositions (``unicodedata``): width, no-break and Arabic
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from bipartiq.session import materialize, ship, slices
 
-TEXTS_AT_ONCE = 512
+TEXTS_AT_ONCE = 4096
 
 # Characters that leave no mark of their own, as ranges of a regular
 # expression (controls, soft hyphen, joiners, direction marks, fillers, byte order
@@ -122,9 +122,11 @@ def form_sql(column: str = "text") -> str:
     emoji = rf"[{PICTOGRAPHS}]{mods}(?:\x{{200D}}[{PICTOGRAPHS}]{mods})*(?:[\x{{E0020}}-\x{{E007E}}]+\x{{E007F}})?|[0-9#*]\x{{FE0F}}?\x{{20E3}}"
     broken = f"replace(replace(translate({column}, {_quoted(BREAKS)}, repeat(chr(10), {len(BREAKS)})), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
     seen = f"regexp_replace({broken}, {_quoted(f'({emoji})|{INVISIBLE}')}, '\\1', 'g')"
-    opened = _translated("s", rare)
-    for sign, letters in several.items():
-        opened = f"replace({opened}, {_quoted(sign)}, {_quoted(letters)})"
+    # Ligatures open piece by piece, by one look-up table: hundreds of nested replacements would take long to plan.
+    signs, letters = (f"[{', '.join(map(_quoted, x))}]" for x in (several, several.values()))
+    one_or_none = _class(list(several))
+    pieces = f"regexp_extract_all({_translated('s', rare)}, {_quoted(f'{one_or_none}|[^{one_or_none[1:]}+')})"
+    opened = f"array_to_string(list_transform({pieces}, lambda p: coalesce(map_extract(map({signs}, {letters}), p)[1], p)), '')"
     # Accents compose before and after the letters change: an accent may stand on either kind.
     plain = f"list_transform([nfc_normalize({seen})], lambda s: CASE WHEN regexp_matches(s, {_quoted(_class([*rare, *several]))}) THEN {opened} ELSE s END)[1]"
     return f"nfc_normalize({_translated(plain, usual | common)})"
@@ -143,7 +145,7 @@ def consistent_form(df: DataFrame, text: str = "text", keep: list[str] | None =
         import duckdb
 
         with duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "512MB"}) as db:
-            for batch in slices(batches, TEXTS_AT_ONCE, 8 << 20):
+            for batch in slices(batches, TEXTS_AT_ONCE, 16 << 20):
                 db.register("batch", pa.table(batch))
                 yield from db.sql(sql).to_arrow_table().to_batches()
                 db.unregister("batch")
@@ -173,9 +175,9 @@ def variant_classes(df: DataFrame, ident: str = "doc_id", text: str = "text") ->
 
 
 def _keyed(df: DataFrame, ident: str, text: str) -> DataFrame:
-    """Ids with digests of a text's look and of its characters (SHA-256, so equal means equal)."""
+    """Ids with digests of a text's look and of its characters (SHA-256, so equal means equal), written once."""
     formed = consistent_form(df.withColumn("raw__", F.sha2(text, 256)), text, [ident, "raw__"])
-    return formed.select(ident, "shows", F.sha2("form", 256).alias("look"), F.col("raw__").alias("spelling"))
+    return materialize(formed.select(ident, "shows", F.sha2("form", 256).alias("look"), F.col("raw__").alias("spelling")), "looks")
 
 
 def variant_pairs(df: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
