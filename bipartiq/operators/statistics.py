@@ -6,6 +6,8 @@ possible, so that groups with most of all rows stay spread.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,11 +97,71 @@ def performance_profile(rows: DataFrame, keys: list[str], ratio: str, taus: list
     return rows.select(*keys, ratio, tau).groupBy(*keys, "tau").agg(F.avg(F.when(F.col(ratio) <= F.col("tau"), 1.0).otherwise(0.0)).alias("share"))
 
 
+def placed_in_groups(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Each row with ``place__``, from 0 in its group in the given order (ties fall somehow), and the group's ``n__``.
+
+    Rows are sorted by ranges of (group, order) over all partitions, and a group's
+    places count from its first row's: no task ever holds a whole group.
+    """
+    keyed = rows.withColumn("row__", F.monotonically_increasing_id())
+    whole = F.struct(F.struct(*keys, F.lit(0)).alias("g"), F.struct(*order).alias("o"), F.col("row__"), F.struct(*rows.columns).alias("all"))
+    index = materialize(dense_index(keyed.select(whole.alias("key__")), "key__").select("key__.all.*", "compact_id"), "placed")
+    first = index.groupBy(*[F.col(k).alias(f"g{i}__") for i, k in enumerate(keys)]).agg(F.min("compact_id").alias("first__"), F.count(F.lit(1)).alias("n__"))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"g{i}__")) for i, k in enumerate(keys)], F.lit(True))
+    return index.join(first, same).select(*rows.columns, (F.col("compact_id") - F.col("first__")).alias("place__"), "n__")
+
+
+def interpolated(values: DataFrame, keys: list[str], value: Column, quantiles: list[float]) -> DataFrame:
+    """The keys and ``p``: each group's quantiles by linear interpolation, in the order given; nulls don't count."""
+    rows = values.select(*keys, value.cast("double").alias("x__")).filter(F.col("x__").isNotNull())
+    placed = placed_in_groups(rows, keys, ["x__"])
+    at = [F.lit(float(q)) * (F.col("n__") - 1) for q in quantiles]
+    # Each value goes to the quantiles it stands next to, with its weight; at most two values a quantile remain.
+    near = F.filter(
+        F.array(*[F.struct(F.lit(i).alias("i"), (1 - F.abs(F.col("place__") - a)).alias("w")) for i, a in enumerate(at)]), lambda e: e["w"] > 0
+    )
+    share = placed.select(*keys, "x__", F.explode(near).alias("e")).groupBy(*keys, "e.i").agg(F.sum(F.col("x__") * F.col("e.w")).alias("v"))
+    return share.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("p"))
+
+
 def five_numbers(values: DataFrame, keys: list[str], value: Column) -> DataFrame:
     """Least, quartiles and largest of each group, by linear interpolation."""
-    p = F.percentile(value, F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)]))
     names = ("least", "q1", "median", "q3", "largest")
-    return values.groupBy(*keys).agg(p.alias("p")).select(*keys, *[F.col("p")[i].alias(n) for i, n in enumerate(names)])
+    p = interpolated(values, keys, value, [0.0, 0.25, 0.5, 0.75, 1.0])
+    return p.select(*keys, *[F.col("p")[i].alias(n) for i, n in enumerate(names)])
+
+
+def ablation(trials: DataFrame, graph: str, variant: str, variants: list) -> DataFrame:
+    """How variants of a method compare on the graphs that every one of them was run on.
+
+    Columns: the variant, ``graphs`` (matched), ``feasible_pct`` (mean over graphs) and
+    the five numbers of the graphs' mean edges, where infeasible trials count 0.
+    """
+    ok = F.coalesce(F.col("theta_feasible"), F.lit(False))
+    per = (
+        trials.filter(F.col(variant).isin(variants) & F.col("final_edges").isNotNull() & F.col(graph).isNotNull())
+        .groupBy(graph, variant)
+        .agg(F.avg(F.when(ok, F.col("final_edges")).otherwise(0)).alias("mean_edges"), (100 * F.avg(ok.cast("int"))).alias("rate"))
+    )
+    matched = per.groupBy(graph).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(set(variants))).select(graph)
+    kept = materialize(per.join(matched, graph, "left_semi"), "matched")
+    rates = kept.groupBy(variant).agg(F.count(F.lit(1)).alias("graphs"), F.avg("rate").alias("feasible_pct"))
+    return rates.join(five_numbers(kept, [variant], F.col("mean_edges")), variant)
+
+
+def density_sweep(seen: DataFrame, value: str, density: str, won: str, order: list[str], parts: int = 3) -> DataFrame:
+    """Per swept value and equal-count part of its observations by density: ``n``, ``rate`` (won), ``median``, ``lo`` and ``hi``.
+
+    The first parts take the remainder; values with fewer observations than parts have none.
+    """
+    placed = placed_in_groups(seen.select(value, density, won, *order).filter(F.col(density) > 0), [value], [density, *order]).filter(F.col("n__") >= parts)
+    size, more, p = F.floor(F.col("n__") / parts), F.col("n__") % parts, F.col("place__")
+    big = more * (size + 1)
+    part = F.when(p < big, F.floor(p / (size + 1))).otherwise(more + F.floor((p - big) / size))
+    tiled = materialize(placed.withColumn("part", (part + 1).cast("int")), "tiled")
+    middle = interpolated(tiled, [value, "part"], F.col(density), [0.5]).select(value, "part", F.col("p")[0].alias("median"))
+    rate = F.avg(F.coalesce(F.col(won), F.lit(False)).cast("int"))
+    return tiled.groupBy(value, "part").agg(F.count(F.lit(1)).alias("n"), rate.alias("rate"), F.min(density).alias("lo"), F.max(density).alias("hi")).join(middle, [value, "part"])
 
 
 def equal_parts(rows: DataFrame, order: list[str], parts: int, name: str = "part") -> DataFrame:

@@ -37,6 +37,16 @@ E_CUST = "e AS (SELECT DISTINCT o_custkey AS u, l_partkey AS v FROM orders JOIN
 E_HOUR = "e AS (SELECT DISTINCT user_id AS u, epoch_us(ts) // 3600000000 AS v FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)"
 
 
+#: Graphs with a planted 12 x 12 block that lacks K pairs; mk holds the block's pairs.
+_PLANT = f"""us AS (SELECT u FROM (SELECT DISTINCT u FROM e0) ORDER BY (u * 2654435761 + 1) % 4294967296, u LIMIT 12),
+vs AS (SELECT v FROM (SELECT DISTINCT v FROM e0) ORDER BY (v * 2654435761 + 1) % 4294967296, v LIMIT 12),
+mk AS (SELECT u, v FROM us, vs), ab AS (SELECT u, v FROM mk WHERE NOT EXISTS (SELECT 1 FROM e0 WHERE e0.u = mk.u AND e0.v = mk.v)),
+e AS (FROM e0 UNION ALL SELECT u, v FROM (SELECT *, row_number() OVER (ORDER BY (u * 31 + v * 17 + 1) % 1009, u, v) AS p FROM ab) WHERE p > {K})"""
+E_CUST_PLANTED = E_CUST.replace("e AS", "e0 AS", 1) + ", " + _PLANT
+E_HOUR_PLANTED = E_HOUR.replace("e AS", "e0 AS", 1) + ", " + _PLANT
+MARKED = "(u, v) IN (SELECT (mk.u, mk.v) FROM mk)"
+
+
 def query(sql: str = "", graph: str = E_CUST) -> Callable[[Query], Query]:
     """Register a query under its name, with its SQL after the graph's definition."""
 
@@ -412,6 +422,12 @@ def topq_butterfly(spark, folder):
     return scores.top_share(scored, 0.2).select("u", "v")
 
 
+@query(f"""{_SC}, n AS (SELECT greatest(1, floor(0.2 * count(*))) AS n FROM e)
+SELECT u, v FROM (SELECT u, v, row_number() OVER (ORDER BY s * t DESC, u, v) AS p FROM sc), n WHERE p <= n.n""", E_HOUR)
+def topq_sc(spark, folder):
+    return reduction.top_similar(user_hour(spark, folder), theta=THETA)
+
+
 _DIFF = f"""{PAIRS}, w AS (SELECT a, b FROM p WHERE c >= 2 UNION ALL SELECT b, a FROM p WHERE c >= 2),
 p2 AS (SELECT x.v AS a, y.v AS b FROM e x JOIN e y ON x.u = y.u AND x.v <> y.v GROUP BY ALL HAVING count(*) >= 2),
 l AS (SELECT x.u, x.v, count(*) AS c FROM e x JOIN e y ON x.v = y.v JOIN w ON w.a = x.u AND w.b = y.u GROUP BY ALL),
@@ -455,14 +471,14 @@ def heat_stats(spark, folder):
 _SHARES = [0.01, 0.05, 0.1, 0.2, 0.3]
 
 
-@query(f"""{_S4}, s AS (SELECT u, v, u % 7 = v % 7 AS marked, row_number() OVER (ORDER BY raw / greatest(1, (du - 1) * (dv - 1)) DESC, u, v) AS p FROM s4),
+@query(f"""{_S4}, s AS (SELECT u, v, {MARKED} AS marked, row_number() OVER (ORDER BY raw / greatest(1, (du - 1) * (dv - 1)) DESC, u, v) AS p FROM s4),
 t AS (SELECT unnest({_SHARES}::DOUBLE[]) AS share), n AS (SELECT count(*) AS m, count(*) FILTER (marked) AS mm FROM s)
 SELECT share, any_value(greatest(1, floor(share * m + 0.5)))::BIGINT AS kept,
-round(count(*) FILTER (s.marked AND p <= greatest(1, floor(share * m + 0.5))) / any_value(mm), 6) AS recall FROM t, n, s GROUP BY share""", E_HOUR)
+round(count(*) FILTER (s.marked AND p <= greatest(1, floor(share * m + 0.5))) / any_value(mm), 6) AS recall FROM t, n, s GROUP BY share""", E_HOUR_PLANTED)
 def recall_at(spark, folder):
-    scored = materialize(scores.butterfly_scores(user_hour(spark, folder)), "scores")
-    marked = scored.withColumn("marked", F.col("u") % 7 == F.col("v") % 7)
-    return _rounded(scores.recall_at(marked, "marked", _SHARES), "recall")
+    edges = materialize(relational.plant(user_hour(spark, folder), 12, 12, K), "planted")
+    marked = scores.butterfly_scores(edges.select("u", "v")).join(edges, ["u", "v"]).withColumnRenamed("planted", "marked")
+    return _rounded(scores.recall_at(materialize(marked, "scores"), "marked", _SHARES), "recall")
 
 
 @query("""d AS (SELECT count(*) AS deg FROM e GROUP BY u UNION ALL SELECT count(*) FROM e GROUP BY v)
@@ -657,18 +673,20 @@ def core_numbers(spark, folder):
     return relational.core_numbers(_projected(cust_part(spark, folder)))
 
 
-@query(f"""{_S4}, s AS (SELECT u % 7 = v % 7 AS marked, row_number() OVER (ORDER BY raw / greatest(1, (du - 1) * (dv - 1)) DESC, u, v) AS p FROM s4)
-SELECT count(*) AS edges, max(CASE WHEN marked THEN p END) AS last, round(max(CASE WHEN marked THEN p END) / count(*), 6) AS share FROM s""", E_HOUR)
+@query(f"""{_S4}, s AS (SELECT {MARKED} AS marked, row_number() OVER (ORDER BY raw / greatest(1, (du - 1) * (dv - 1)) DESC, u, v) AS p FROM s4)
+SELECT count(*) AS edges, max(CASE WHEN marked THEN p END) AS last, round(max(CASE WHEN marked THEN p END) / count(*), 6) AS share FROM s""", E_HOUR_PLANTED)
 def keeping_share(spark, folder):
-    scored = materialize(scores.butterfly_scores(user_hour(spark, folder)), "scores")
-    return _rounded(scores.keeping_share(scored.withColumn("marked", F.col("u") % 7 == F.col("v") % 7), "marked"), "share")
+    edges = materialize(relational.plant(user_hour(spark, folder), 12, 12, K), "planted")
+    scored = scores.butterfly_scores(edges.select("u", "v")).join(edges, ["u", "v"])
+    return _rounded(scores.keeping_share(materialize(scored, "scores"), "planted"), "share")
 
 
-@query(f"""{_PULSE} SELECT round(avg(CASE WHEN u % 7 = v % 7 THEN w END), 6) AS marked_mean, round(avg(w), 6) AS overall_mean, round(avg(CASE WHEN u % 7 = v % 7 THEN w END) / avg(w), 6) AS ratio
-FROM (SELECT u, v, 20.0::DOUBLE / du + 190 AS w FROM z)""")
+@query(f"""{_PULSE}, w AS (SELECT 20.0::DOUBLE / du + 190 AS w, {MARKED} AS marked FROM z)
+SELECT round(avg(CASE WHEN marked THEN w END), 6) AS marked_mean, round(avg(w), 6) AS overall_mean, round(avg(CASE WHEN marked THEN w END) / avg(w), 6) AS ratio FROM w""", E_CUST_PLANTED)
 def pulse_experiment(spark, folder):
-    weights = scores.pulse_weights(cust_part(spark, folder)).withColumn("marked", F.col("u") % 7 == F.col("v") % 7)
-    return _rounded(scores.mark_contrast(weights, "marked"), "marked_mean", "overall_mean", "ratio")
+    edges = materialize(relational.plant(cust_part(spark, folder), 12, 12, K), "planted")
+    weights = scores.pulse_weights(edges.select("u", "v")).join(edges, ["u", "v"])
+    return _rounded(scores.mark_contrast(weights, "planted"), "marked_mean", "overall_mean", "ratio")
 
 
 @query(f"""{_peel_sql('e', 'a1', 25)}, {_peel_sql('a1', 'a2', 25)} SELECT 'none' AS phase, count(DISTINCT u) AS n_u, count(DISTINCT v) AS n_v, count(*) AS edges FROM e
@@ -679,8 +697,10 @@ def reduction_report(spark, folder):
     return reduction.phase_sizes({"none": edges, "peel 1": one, "peel 2": reduction.peel(one, 25, rounds=1)})
 
 
-@query(f"""{_peel_sql('e', 'a1', 25)}, b AS (SELECT u, v FROM e WHERE u % 7 = 0 AND v % 7 = 0)
-SELECT count(*) FILTER (EXISTS (SELECT 1 FROM a1 WHERE a1.u = b.u AND a1.v = b.v)) AS kept, count(*) FILTER (NOT EXISTS (SELECT 1 FROM a1 WHERE a1.u = b.u AND a1.v = b.v)) AS lost FROM b""")
+@query(f"""{_cnr_sql('e', 'done')}, b AS (SELECT e.u, e.v FROM e JOIN mk ON mk.u = e.u AND mk.v = e.v)
+SELECT count(*) FILTER (EXISTS (SELECT 1 FROM done WHERE done.u = b.u AND done.v = b.v)) AS kept, count(*) FILTER (NOT EXISTS (SELECT 1 FROM done WHERE done.u = b.u AND done.v = b.v)) AS lost FROM b""", E_CUST_PLANTED)
 def plant_survival(spark, folder):
-    edges = materialize(cust_part(spark, folder), "edges")
-    return reduction.survives(reduction.peel(edges, 25, rounds=1), edges.filter("u % 7 = 0 AND v % 7 = 0"))
+    """Whether a planted block outlives a common-neighbour round, as a safe reduction must let it."""
+    edges = materialize(relational.plant(cust_part(spark, folder), 12, 12, K), "planted")
+    reduced = reduction.common_neighbour(edges.select("u", "v"), K, THETA, rounds=1)
+    return reduction.survives(reduced, edges.filter("planted"))

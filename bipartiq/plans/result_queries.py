@@ -311,3 +311,46 @@ def verdict_counts(spark, folder):
     more, same = F.col("challenger_edges") > F.col("baseline_edges"), F.col("edge_delta") == F.col("challenger_edges") - F.col("baseline_edges")
     rows = table(spark, folder, "compare_rows")
     return rows.groupBy("verdict", "status").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(more, 1)).alias("more"), F.count(F.when(same, 1)).alias("consistent"))
+
+
+# ---- ablation and sweeps ------------------------------------------------------
+
+_VARIANTS = [100, 200, 400]
+
+
+@query(f"""WITH {TRIALS}, p AS (SELECT dataset, ants, avg(CASE WHEN theta_feasible THEN final_edges ELSE 0 END) AS x, 100 * avg(CASE WHEN theta_feasible THEN 1 ELSE 0 END) AS rate
+  FROM t WHERE ants IN (100, 200, 400) AND dataset IS NOT NULL GROUP BY dataset, ants),
+m AS (SELECT * FROM p WHERE dataset IN (SELECT dataset FROM p GROUP BY dataset HAVING count(*) = 3))
+SELECT ants, count(*) AS graphs, round(avg(rate), 6) AS feasible_pct, round(min(x), 6) AS least, round(quantile_cont(x, 0.25), 6) AS q1, round(quantile_cont(x, 0.5), 6) AS median,
+  round(quantile_cont(x, 0.75), 6) AS q3, round(max(x), 6) AS largest FROM m GROUP BY ants""")
+def flag_ablation(spark, folder):
+    """Ant counts as the variants of one method, on the datasets that have trials of each."""
+    found = statistics.ablation(_trials(spark, folder), "dataset", "ants", _VARIANTS)
+    return _rounded(found, "feasible_pct", "least", "q1", "median", "q3", "largest")
+
+
+def _sweep_sql(axis: str) -> str:
+    return f"""WITH v AS (SELECT *, row_number() OVER (PARTITION BY trial_id ORDER BY received_at DESC NULLS LAST, row_id DESC) AS version FROM vary_trials),
+t AS (SELECT dataset, k, theta, bool_or(coalesce(theta_feasible, false)) AS won FROM v WHERE version = 1 AND ants IS NOT NULL AND final_edges >= 0 AND {axis} IS NOT NULL GROUP BY dataset, k, theta),
+o AS (SELECT t.*, g.reduced_edges / (g.reduced_n_u * g.reduced_n_v) AS density FROM t JOIN graph_stats g ON g.dataset = t.dataset WHERE g.reduced_n_u > 0 AND g.reduced_n_v > 0),
+n AS (SELECT *, ntile(3) OVER (PARTITION BY {axis} ORDER BY density, dataset, k, theta) AS part, count(*) OVER (PARTITION BY {axis}) AS total FROM o WHERE density > 0)
+SELECT {axis} AS value, part::INTEGER AS part, count(*) AS n, round(avg(won::INTEGER), 6) AS rate, round(min(density), 6) AS lo, round(max(density), 6) AS hi, round(quantile_cont(density, 0.5), 6) AS median
+FROM n WHERE total >= 3 GROUP BY {axis}, part"""
+
+
+def _sweep(axis: str) -> None:
+    def run(spark, folder):
+        columns = ["row_id", "trial_id", "dataset", "ants", "run", "k", "theta", "final_edges", "theta_feasible", "received_at"]
+        trials = statistics.current_trials(table(spark, folder, "vary_trials").select(*columns)).filter("ants IS NOT NULL AND final_edges >= 0")
+        settings = trials.filter(F.col(axis).isNotNull()).groupBy("dataset", "k", "theta").agg(F.max(F.coalesce("theta_feasible", F.lit(False))).alias("won"))
+        sizes = table(spark, folder, "graph_stats").filter("reduced_n_u > 0 AND reduced_n_v > 0")
+        density = sizes.select("dataset", (F.col("reduced_edges") / (F.col("reduced_n_u") * F.col("reduced_n_v"))).alias("density"))
+        seen = settings.join(density, "dataset").select(F.col(axis).alias("value"), "density", "won", "dataset", "k", "theta")
+        return _rounded(statistics.density_sweep(seen, "value", "density", "won", ["dataset", "k", "theta"]), "rate", "lo", "hi", "median")
+
+    run.__name__ = f"{axis}_sweep"
+    query(_sweep_sql(axis))(run)
+
+
+for _axis in ("k", "theta"):
+    _sweep(_axis)

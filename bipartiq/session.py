@@ -150,9 +150,3 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int, size: int = 32 << 20) -
                 part = part.slice(0, part.num_rows // 2)
             yield part
             start += part.num_rows
-
-
-def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Ready Python workers for an operator, with batches of so many rows at most."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
