@@ -161,6 +161,72 @@ def p4_unified(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# ---- the same from the JSON functions of SQL, as far as they go -----------------
+
+
+def _layer(source: str, target: str) -> str:
+    """One layer of wrapping off the bodies b: a JSON text of JSON, or a list of one."""
+    return f"""{target} AS (SELECT doc_no, CASE WHEN NOT json_valid(b) THEN NULL WHEN json_type(b) = 'VARCHAR' THEN trim(b->>'$', E' \\t\\n\\r\ufeff')
+  WHEN json_type(b) = 'ARRAY' AND json_array_length(b) = 1 THEN (b->'$[0]')::VARCHAR ELSE b END AS b FROM {source})"""
+
+
+def _as_text(source: str, target: str) -> str:
+    """Lists x that are written as JSON text; blank texts are none."""
+    return f"""{target} AS (SELECT * EXCLUDE (x), CASE WHEN json_type(x) = 'VARCHAR' AND json_valid(x->>'$') THEN (x->>'$')::JSON
+  WHEN json_type(x) = 'VARCHAR' AND trim(x->>'$') = '' THEN NULL ELSE x END AS x FROM {source})"""
+
+
+def _items(source: str, target: str) -> str:
+    """(doc_no, parent, child, pos, v) of lists (doc_no, parent, child, x): plain, by integer keys, or a lone value."""
+    named = "len(list_filter(json_keys(x), lambda y: NOT regexp_full_match(y, '-?[0-9]+')))"
+    return f"""{_as_text(source, target + "1")}, {_as_text(target + "1", target + "2")}, {target} AS (
+  SELECT doc_no, parent, child, i - 1 AS pos, a[i] AS v FROM (
+    SELECT *, json_extract(x, '$[*]') AS a, unnest(range(1, json_array_length(x)::BIGINT + 1)) AS i FROM {target}2 WHERE json_type(x) = 'ARRAY')
+  UNION ALL SELECT doc_no, parent, child, key::INTEGER, json_extract(x, '$."' || key || '"') FROM (
+    SELECT *, unnest(json_keys(x)) AS key FROM {target}2 WHERE json_type(x) = 'OBJECT' AND {named} = 0)
+  UNION ALL SELECT doc_no, parent, child, 0, x FROM {target}2 WHERE json_type(x) NOT IN ('ARRAY', 'OBJECT') OR (json_type(x) = 'OBJECT' AND {named} > 0))"""
+
+
+#: The items of the four lists, in ti, ei, pi and si. NaN and infinities are no JSON to SQL and become a number.
+P1_CTES = f"""b0 AS (SELECT doc_no, regexp_replace(trim(body, E' \\t\\n\\r\ufeff'), '([:\\[,]\\s*)-?(NaN|Infinity)', '\\1 1e300', 'g') AS b FROM result_docs),
+{_layer("b0", "b1")}, {_layer("b1", "b2")}, {_layer("b2", "b3")}, {_layer("b3", "b4")},
+d AS MATERIALIZED (SELECT doc_no, b::JSON AS d FROM b4 WHERE json_valid(b) AND json_type(b) = 'OBJECT'),
+tl AS (SELECT doc_no, '' AS parent, 'trials' AS child, d->'trials' AS x FROM d), {_items("tl", "ti")},
+el AS (SELECT doc_no, 'trials/' || pos AS parent, 'epoch_trace' AS child, v->'epoch_trace' AS x FROM ti), {_items("el", "ei")},
+rl AS (SELECT doc_no, '' AS parent, 'results' AS child, d->'results' AS x FROM d), {_items("rl", "ri")},
+rr AS (SELECT doc_no, pos, v, unnest(json_keys(v->'runs')) AS name FROM ri WHERE json_type(v->'runs') = 'OBJECT'),
+pl AS (SELECT doc_no, 'results/' || pos || '/runs/' || name AS parent, 'replicates' AS child, json_extract(v, '$.runs."' || name || '".replicates') AS x FROM rr), {_items("pl", "pi")},
+sl AS (SELECT doc_no, 'results/' || pos || '/challenger/meta' AS parent, 'best_s' AS child, v->'challenger'->'meta'->'best_s' AS x FROM ri), {_items("sl", "si")}"""
+P1_FOUND = f"""WITH {P1_CTES} SELECT doc_no, child, parent, pos::INTEGER AS pos FROM (FROM ti UNION ALL FROM ei UNION ALL FROM pi UNION ALL FROM si)
+WHERE v IS NOT NULL AND json_type(v) <> 'NULL'"""
+#: Where several pairs of a step are borne out for one field, this lists them all and the operator the cheapest choice.
+P4_FOUND = """WITH x AS MATERIALIZED (SELECT s.stream_id, s.file_seq, s.run_key, s.line_no, s.rec_id, replace(substr(t.fullkey, 3), '"', '') AS field,
+    CASE WHEN t.type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'number' ELSE lower(t.type) END AS type,
+    CASE WHEN t.type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN (t.atom::VARCHAR)::DOUBLE::VARCHAR ELSE t.value::VARCHAR END AS value
+  FROM suite_records s, json_tree(CASE WHEN json_valid(s.body) AND json_type(s.body) = 'OBJECT' THEN s.body END) t
+  WHERE t.type NOT IN ('OBJECT', 'NULL') AND t.fullkey NOT LIKE '%[%' AND s.stream_id IS NOT NULL AND s.file_seq IS NOT NULL),
+n AS (SELECT stream_id, file_seq, field, type, count(*) AS n FROM x GROUP BY ALL),
+f AS MATERIALIZED (SELECT stream_id, file_seq, field, min_by(type, (-n, type)) AS type FROM n GROUP BY ALL),
+p AS MATERIALIZED (SELECT stream_id, file_seq, lag(file_seq) OVER (PARTITION BY stream_id ORDER BY file_seq) AS before FROM (SELECT DISTINCT stream_id, file_seq FROM suite_records WHERE file_seq IS NOT NULL)),
+b AS (SELECT p.stream_id, p.file_seq, f.field, f.type FROM p JOIN f ON f.stream_id = p.stream_id AND f.file_seq = p.before),
+a AS (SELECT p.stream_id, p.file_seq, f.field, f.type FROM p JOIN f ON f.stream_id = p.stream_id AND f.file_seq = p.file_seq WHERE p.before IS NOT NULL),
+c AS MATERIALIZED (SELECT stream_id, file_seq, field, CASE WHEN b.type IS NULL THEN 'added' WHEN a.type IS NULL THEN 'removed' ELSE 'type' END AS change
+  FROM b FULL JOIN a USING (stream_id, file_seq, field) WHERE b.type IS DISTINCT FROM a.type),
+v AS MATERIALIZED (SELECT stream_id, file_seq, run_key, field, max_by(value, (line_no, rec_id)) AS value FROM x WHERE run_key IS NOT NULL GROUP BY ALL),
+r AS (SELECT DISTINCT stream_id, file_seq, run_key FROM suite_records WHERE run_key IS NOT NULL),
+m AS MATERIALIZED (SELECT p.stream_id, p.file_seq, p.before, o.run_key FROM p JOIN r o ON o.stream_id = p.stream_id AND o.file_seq = p.before JOIN r w ON w.stream_id = p.stream_id AND w.file_seq = p.file_seq AND w.run_key = o.run_key),
+vo AS MATERIALIZED (SELECT m.stream_id, m.file_seq, m.run_key, v.field, v.value FROM m JOIN v ON v.stream_id = m.stream_id AND v.file_seq = m.before AND v.run_key = m.run_key
+  JOIN c ON c.stream_id = m.stream_id AND c.file_seq = m.file_seq AND c.field = v.field AND c.change = 'removed'),
+vn AS MATERIALIZED (SELECT m.stream_id, m.file_seq, m.run_key, v.field, v.value FROM m JOIN v ON v.stream_id = m.stream_id AND v.file_seq = m.file_seq AND v.run_key = m.run_key
+  JOIN c ON c.stream_id = m.stream_id AND c.file_seq = m.file_seq AND c.field = v.field AND c.change = 'added'),
+e AS (SELECT stream_id, file_seq, vo.field, vn.field AS new_field, count(*) AS n FROM vo JOIN vn USING (stream_id, file_seq, run_key, value) GROUP BY ALL),
+k AS MATERIALIZED (SELECT e.* FROM e JOIN (SELECT stream_id, file_seq, field, count(*) AS n FROM vo GROUP BY ALL) o USING (stream_id, file_seq, field, n)
+  JOIN (SELECT stream_id, file_seq, field AS new_field, count(*) AS n FROM vn GROUP BY ALL) w USING (stream_id, file_seq, new_field, n))
+SELECT stream_id, file_seq, 'renamed' AS change, field, new_field FROM k
+UNION ALL SELECT stream_id, file_seq, change, field, '' FROM c
+WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.stream_id = c.stream_id AND k.file_seq = c.file_seq AND ((c.change = 'removed' AND k.field = c.field) OR (c.change = 'added' AND k.new_field = c.field)))"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -169,7 +235,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 SQL = {
+    "p1_found": P1_FOUND,
     "p1_orphans": P1_ORPHANS,
+    "p4_found": P4_FOUND,
     "p3_found": f"SELECT dataset, side, vertex FROM ({_DEGREES}) WHERE neighbours >= 50",
     "p3_degrees": _DEGREES,
     "p3_profile": _PROFILE,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bipartiq.functions import erfc_sql, finite_time, geometric_mean
 from bipartiq.operators import nested, statistics
 from bipartiq.sources import manifest
+from bipartiq.plans.data_queries import P1_CTES, _items
 from bipartiq.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -228,7 +229,8 @@ def time_saved(spark, folder):
     return _rounded(table(spark, folder, "compare_rows").groupBy("dataset").agg(F.sum(saved).alias("saved_s"), F.count(F.lit(1)).alias("n")), "saved_s")
 
 
-@query("")
+@query(f"""WITH {P1_CTES} SELECT try_cast(v->>'t' AS INTEGER) AS t, count(*) AS n, round(avg(try_cast(v->>'edges' AS DOUBLE)), 6) AS mean_edges,
+round(avg(try_cast(v->>'theta_feasible' AS BOOLEAN)::INTEGER), 6) AS feasible_share FROM ei WHERE try_cast(v->>'t' AS INTEGER) IS NOT NULL GROUP BY 1""")
 def epoch_stats(spark, folder):
     """Per epoch: documents' best edges so far, mean and spread, from the traces of result documents."""
     nodes = nested.shred(table(spark, folder, "result_docs"), "doc_no", "body", ["trials[]/epoch_trace[]"])
@@ -239,7 +241,9 @@ def epoch_stats(spark, folder):
     )
 
 
-@query("")
+@query(f"""WITH {P1_CTES}, ml AS (SELECT doc_no, parent, child, v->'construction'->'missing_at_size' AS x FROM ti), {_items("ml", "mi")}
+SELECT pos + 1 AS size, count(try_cast(v->>'$' AS DOUBLE)) AS n, round(avg(try_cast(v->>'$' AS DOUBLE)), 6) AS mean_missing
+FROM mi WHERE v IS NOT NULL AND json_type(v) <> 'NULL' GROUP BY pos""")
 def missing_at_size(spark, folder):
     """Per construction size: missing pairs pooled over all trials of result documents."""
     path = "trials[]/construction/missing_at_size[]"
