@@ -266,7 +266,7 @@ def _run_wave(spark, small: dict[str, DenseGraph], specs: list[dict], k: int, th
 
 def exact_parallel(g: DenseGraph, k: int, theta: int, spark, incumbent: Solution | None = None, wave: int | None = None) -> Solution:
     """The exact search with its roots spread over tasks, in waves that share the best found so far."""
-    best = incumbent if incumbent is not None else repaired(g, det.theta_heuristic(g, k, theta), k, theta)
+    best = incumbent if incumbent is not None else sto.tabu(g, k, theta)
     ship(spark)
     size = wave or 16 * spark.sparkContext.defaultParallelism
     data = spark.sparkContext.broadcast((g.matrix, g.u_ids, g.v_ids))
@@ -288,11 +288,12 @@ def exact_parallel(g: DenseGraph, k: int, theta: int, spark, incumbent: Solution
     return best
 
 
-def compare_seeds(g: DenseGraph, k: int, theta: int, seed: int = 0, deadline_s: float | None = None, ants: int = 20) -> list[tuple]:
+def compare_seeds(g: DenseGraph, k: int, theta: int, seed: int = 0, deadline_s: float | None = None, ants: int = 20, spark=None) -> list[tuple]:
     """(seed method, its edges, edges of the exact search from it, whether that was complete) for both seeds.
 
     The first bound of the search is the theta heuristic's solution or an ant
-    colony's; each search has the same time limit.
+    colony's; each search has the same time limit. With ``spark`` and no limit the
+    searches run in waves of tasks.
     """
     rows = []
     seeds = {
@@ -301,6 +302,10 @@ def compare_seeds(g: DenseGraph, k: int, theta: int, seed: int = 0, deadline_s:
     }
     for name, make in seeds.items():
         first = make() if g.n_u and g.n_v else Solution.empty()
+        if spark is not None and deadline_s is None:
+            best = exact_parallel(g, k, theta, spark, first)
+            rows.append((name, first.edges(g), best.edges(g) if best.feasible(theta) else 0, True))
+            continue
         limit = None if deadline_s is None else time.monotonic() + deadline_s
         found, full = det.exact(g, k, theta, first, deadline=limit)
         rows.append((name, first.edges(g), found[0].edges(g) if found else 0, full))

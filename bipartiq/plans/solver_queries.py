@@ -92,7 +92,7 @@ def solve_seeded(spark: SparkSession, folder: str) -> DataFrame:
     from bipartiq.plans.graph_queries import cust_part
 
     core = common_neighbour(relational.plant(cust_part(spark, folder), 10, 10, K).select("u", "v"), K, THETA)
-    rows = methods.compare_seeds(DenseGraph.collect(core), K, THETA)
+    rows = methods.compare_seeds(DenseGraph.collect(core), K, THETA, spark=spark)
     return spark.createDataFrame(rows, "seed_method string, seed_edges bigint, edges bigint, complete boolean").select("seed_method", "seed_edges", "edges", "complete")
 
 
