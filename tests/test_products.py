@@ -69,3 +69,71 @@ def test_upper_bound_of_stars(edges, pairs, rows, way):
         want.append((a, 1 + max(i for _, i in grown), len(n[a]), max((1 + i) * len(n[a]) - s for s, i in grown)))
     pool = relational.candidates(edges, stars(edges), K).filter("is_u")
     assert rows(packing.upper_bound(edges, stars(edges), pool, K), "sid", "max_u", "max_v", "max_edges") == sorted(want, key=repr)
+
+
+def jaccard(n, a, b):
+    return len(n[a] & n[b]) / len(n[a] | n[b])
+
+
+@pytest.mark.parametrize("combine", ["product", "min"])
+def test_similarity(edges, pairs, rows, way, combine):
+    from bipartiq.operators import scores
+
+    n, m = near(pairs), near([(v, u) for u, v in pairs])
+    mean = lambda x, y, mine, theirs: sum(sorted((jaccard(mine, x, z) for z in theirs[y] if z != x), reverse=True)[:3]) / 3
+    join = (lambda s, t: s * t) if combine == "product" else min
+    want = {(u, v): join(mean(u, v, n, m), mean(v, u, m, n)) for u, v in pairs}
+    found = {(r.u, r.v): r.score for r in scores.neighbourhood_scores(edges, 3, combine=combine).collect()}
+    assert found == pytest.approx(want)
+
+
+def test_largest_values_are_sought_among_more():
+    """Pivots whose vertices are all far down the order still get their largest values."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    cells = rng.random((900, 20)) < 0.3
+    j = rng.random(900).round(2)
+    cells[np.argsort(-j)[:500], 0] = False
+    cells[:, 1] = False
+    graph = products.Rows(np.arange(900), np.arange(20), np.packbits(cells, axis=1))
+    total, taken = products._top_sums(j, graph, np.arange(20), 3)
+    for v in range(20):
+        best = sorted((x for x in j[cells[:, v]] if x > 0), reverse=True)[:3]
+        assert (total[v], taken[v]) == (pytest.approx(sum(best)), len(best))
+
+
+def test_diffusion_weights(edges, pairs, rows, way):
+    from bipartiq.operators import scores
+
+    n, m = near(pairs), near([(v, u) for u, v in pairs])
+    want = [(u, v, sum(len(n[u] & n[x]) >= 2 for x in m[v] if x != u), sum(len(m[v] & m[y]) >= 2 for y in n[u] if y != v)) for u, v in pairs]
+    assert rows(scores.diffusion_weights(edges), "u", "v", "cu", "cv") == sorted(want, key=repr)
+
+
+def test_jaccard_of_all_pairs(edges, pairs, rows, way):
+    n = near(pairs)
+    want = {(a, b): (len(n[a] & n[b]), len(n[a] | n[b])) for a in n for b in n if a < b and n[a] & n[b]}
+    assert {(r.a, r.b): (r.c, r.total) for r in relational.jaccard(edges).collect()} == want
+
+
+def test_seeds_and_promising_sizes(edges, pairs, rows, way):
+    n, m = near(pairs), near([(v, u) for u, v in pairs])
+    places = {u: i for i, u in enumerate(sorted(n, key=lambda u: (-len(n[u]), u)))}
+    table = edges.sparkSession.createDataFrame(list(places.items()), "id bigint, place bigint")
+    want = [(a,) for a in n if not any(n[a] <= n[b] and (len(n[b]) > len(n[a]) or places[b] < places[a]) for b in n if b != a)]
+    assert rows(relational.maximal_seeds(edges, table)) == sorted(want, key=repr)
+    sizes = [(a, sum(b > a and len(n[a] & n[b]) >= 3 for b in n), sum(len(m[v]) >= 3 for v in n[a])) for a in n]
+    assert rows(relational.promising_sizes(edges, 5, 5, 2), "root", "n_u", "n_v") == sorted((s for s in sizes if s[1] + s[2]), key=repr)
+
+
+def test_collected_graphs_come_packed(edges, pairs):
+    from bipartiq.graph import transpose
+    from bipartiq.kernels.dense import DenseGraph
+
+    for e, p in ((edges, pairs), (transpose(edges), [(v, u) for u, v in pairs])):
+        g, want = DenseGraph.collect(e), DenseGraph.from_edges(p)
+        back = DenseGraph.unpacked(*g.packed())
+        for x in (g, back):
+            assert (x.matrix == want.matrix).all() and (x.u_ids == want.u_ids).all() and (x.v_ids == want.v_ids).all()
+        assert g.packed()[0].nbytes <= want.matrix.nbytes // 8 + g.n_u
