@@ -76,11 +76,13 @@ def append_results(rows: DataFrame, path: str) -> None:
 
 
 def completed(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Keys that a results folder holds already, none if it doesn't exist; for ``run_grid(done=...)``."""
+    """Keys that a results folder holds already, none if it doesn't exist, and none of runs that failed; for ``run_grid(done=...)``."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
         return spark.createDataFrame([], ", ".join(f"{k} {'bigint' if k == 'seed' else 'string'}" for k in keys))
-    return spark.read.parquet(path).select(*keys).distinct()
+    rows = spark.read.parquet(path)
+    ended = rows.filter("status IS NULL OR status NOT LIKE 'error%'") if "status" in rows.columns else rows
+    return ended.select(*keys).distinct()
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
